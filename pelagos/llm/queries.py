@@ -28,12 +28,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelagos.llm.warc import archived
+
+    found = archived(table(spark, sf_dir, "pages"), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagos.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelagos.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagos.llm.sharding import shard_rows
 
@@ -47,6 +60,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mixing, op5_packing, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_warc, op5_packing, op6_html, op9_sharding, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
