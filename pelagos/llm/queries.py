@@ -47,6 +47,20 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelagos.llm.quality_rules import judged, learned_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return judged(docs, learned_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelagos.llm.toxicity import scored
+
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_evidence=False)
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagos.llm.sharding import shard_rows
 
@@ -60,6 +74,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_warc, op5_packing, op6_html, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_warc, op5_packing, op6_html, op7_quality, op8_toxicity, op9_sharding, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
