@@ -22,6 +22,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelagos.llm.licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagos.llm.mixing import mixed
 
@@ -74,6 +80,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mixing, op4_warc, op5_packing, op6_html, op7_quality, op8_toxicity, op9_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_mixing, op4_warc, op5_packing, op6_html, op7_quality, op8_toxicity, op9_sharding, op10_exact_dedup)}
+
+
+
+def _oracles() -> dict[str, str]:
+    from pelagos.llm import licenses
+
+    return {"op2_licenses": licenses.oracle_sql()}
+
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracles()
