@@ -84,10 +84,50 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_mixing, op4_wa
 
 
 
+_SIZED = r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents"
+
+_MIXING = f"""
+WITH sized AS MATERIALIZED ({_SIZED}),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM sources),
+filled AS (SELECT *, cap / weight AS ratio, sum(cap) OVER w AS used, sum(weight) OVER w AS gone FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+steps AS (
+  SELECT ratio, used - cap AS used, (SELECT sum(weight) FROM weighed) - (gone - weight) AS open FROM filled
+), level AS (
+  SELECT ((SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE FROM sources) - used) / open AS level FROM steps
+  WHERE ratio > ((SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE FROM sources) - used) / open ORDER BY ratio LIMIT 1
+),
+plan AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM level)) AS target FROM weighed),
+rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 16777216 + 0.5) AS BIGINT) ELSE 0 END AS rate,
+    CAST('0x' || substr(md5(coalesce(source, '')), 1, 6) AS BIGINT) AS u FROM plan
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id) - 1 AS at_ FROM sized)
+SELECT doc_id, size, source_size, target, ((u + (at_ + 1) * rate) >> 24) - ((u + at_ * rate) >> 24) AS copies, size * (((u + (at_ + 1) * rate) >> 24) - ((u + at_ * rate) >> 24)) AS taken
+FROM placed JOIN rates ON placed.source IS NOT DISTINCT FROM rates.source
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
+_EXACT = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n FROM documents),
+g AS (SELECT n, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)
+"""
+
+
 def _oracles() -> dict[str, str]:
     from pelagos.llm import licenses
 
-    return {"op2_licenses": licenses.oracle_sql()}
+    return {"op2_licenses": licenses.oracle_sql(), "op3_mixing": _MIXING, "op4_warc": _WARC, "op10_exact_dedup": _EXACT}
 
 
+#: The others hash or tokenize as SQL can't, walk a graph, or learn: tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = _oracles()
