@@ -40,7 +40,7 @@ def read_csv(
     """
     spark = session()
     has_header = header == 0 or header == "infer" and names is None
-    options = {"sep": sep, "header": has_header, "inferSchema": dtype is None or isinstance(dtype, dict), "enforceSchema": False}
+    options = {"sep": sep, "header": has_header, "inferSchema": dtype is None or isinstance(dtype, dict)}
     if skiprows:
         # Spark's CSV reader can't skip lines: they are numbered as text first
         lines = spark.read.text(filepath).rdd.zipWithIndex().filter(lambda x: x[1] >= skiprows).map(lambda x: x[0][0])
