@@ -47,6 +47,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with more underscores if a frame has a column of that name in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list:
+    """All columns of ``df``, whatever characters their names have."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
+
+
 def ranked(df: DataFrame, *keys: str, name: str = "ranked", into: str = "rank") -> DataFrame:
     """``df`` with ``into``: each row's place from 0 in the order of ``keys`` over all rows.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import SPACE, saved
+from pelagos.llm.common import saved, unused
 
 #: Keys a shard of the index should hold; the number of shards follows the number of digests.
 SHARD_KEYS = 500_000
@@ -213,11 +213,12 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that go, by id and digest; a row repeated with the id that stays goes by dropDuplicates below
     gone = saved(found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "gone")
     again = saved(found.where("not kept").where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "again")
-    tagged = docs.withColumn("_digest", text_digest(text_col))
-    same = lambda other: tagged[id_col].eqNullSafe(other["id"]) & (tagged["_digest"] == other["digest"])
+    own = unused("_digest", docs)
+    tagged = docs.withColumn(own, text_digest(text_col))
+    same = lambda other: tagged[id_col].eqNullSafe(other["id"]) & (tagged[own] == other["digest"])
     if again.isEmpty():
-        return tagged.join(gone, same(gone), "left_anti").drop("_digest")
+        return tagged.join(gone, same(gone), "left_anti").drop(own)
     out = gone.unionByName(again)
     single = tagged.join(out, same(out), "left_anti")
-    repeated = tagged.join(again, same(again), "left_semi").dropDuplicates([id_col, "_digest"])
-    return single.unionByName(repeated).drop("_digest")
+    repeated = tagged.join(again, same(again), "left_semi").dropDuplicates([id_col, own])
+    return single.unionByName(repeated).drop(own)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import WORD, ranked, saved
+from pelagos.llm.common import WORD, ranked, saved, unused
 
 UNIT = 1 << 24
 
@@ -94,15 +94,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def _emitted(docs: DataFrame, grouped: DataFrame, own, id_col: str, source_col: str) -> DataFrame:
-    tagged = docs.withColumn("_own_text", own)
-    on = tagged[id_col].eqNullSafe(grouped["_id"]) & tagged[source_col].eqNullSafe(grouped["_source"]) & (tagged["_own_text"] == grouped["_own"])
-    columns = [tagged[c] for c in docs.columns]
-    times = lambda n: F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_time")
-    alone = tagged.join(grouped.where("_rows = 1 and _copies > 0"), on)
-    single = alone.select(*columns, times(F.col("_copies"))).drop("_time")
-    # repeated rows are as many as their copies together: one of them is emitted for all
-    again = grouped.where("_rows > 1 and _copies > 0")
+    mark, copies = unused("_own_text", docs), unused("_copies", docs)
+    tagged = docs.withColumn(mark, own)
+    grouped = grouped.withColumnRenamed("_copies", copies)
+    on = tagged[id_col].eqNullSafe(grouped["_id"]) & tagged[source_col].eqNullSafe(grouped["_source"]) & (tagged[mark] == grouped["_own"])
+    took = grouped[copies] > 0
+    # as often as copies: at most twice but for repeated rows
+    times = lambda df: df.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies, mark)
+    single = times(tagged.join(grouped.where(took & (F.col("_rows") == 1)), on).drop(grouped["_id"], grouped["_source"], grouped["_own"], grouped["_rows"]))
+    again = grouped.where(took & (F.col("_rows") > 1))
     if again.isEmpty():
         return single
-    first = tagged.join(again, on).select(*columns, "_own_text", "_copies").dropDuplicates([id_col, source_col, "_own_text"])
-    return single.unionByName(first.select(*docs.columns, times(F.col("_copies"))).drop("_time"))
+    # repeated rows are as many as their copies together: one of them is emitted for all
+    first = tagged.join(again, on).drop(grouped["_id"], grouped["_source"], grouped["_own"], grouped["_rows"]).dropDuplicates([id_col, source_col, mark])
+    return single.unionByName(times(first))

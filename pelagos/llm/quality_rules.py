@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pelagos.llm.common import own_columns, text_bytes, unused
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -63,17 +66,17 @@ def _repeated(words: list[bytes]) -> int:
 
 def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of ``docs`` (all if None) and STATS, each named with ``prefix``. A null text is empty."""
-    keep = docs.columns if keep is None else keep
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(text.alias("_text"), *[docs[c] for c in keep])
-    schema = rows.drop("_text").schema
+    kept = docs if keep is None else docs.select(*keep)
+    schema = StructType(list(kept.schema))  # a copy: add() changes it
+    text = unused("_text", docs)
+    rows = docs.select(text_bytes(text_col).alias(text), *(own_columns(docs) if keep is None else keep))
     for name in STATS:
         schema = schema.add(prefix + name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = np.array([text_stats(t.as_py()) for t in batch.column(0)], np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(stats[:, i]) for i in range(len(STATS)))], names=[*batch.schema.names[1:], *(prefix + s for s in STATS)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(stats[:, i]) for i in range(len(STATS)))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -229,5 +232,8 @@ def judged(docs: DataFrame, rules: RuleList, id_col: str = "doc_id", text_col: s
 
 def drop_rejected(docs: DataFrame, rules: RuleList, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass the base rules and the learned ones, with all their columns."""
-    rows = with_stats(docs, text_col, prefix="_quality_")
-    return rows.where(~base_failed("_quality_") & rules.kept("_quality_")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    rows = with_stats(docs, text_col, prefix=prefix)
+    return rows.where(~base_failed(prefix) & rules.kept(prefix)).drop(*[prefix + s for s in STATS])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import saved, text_bytes
+from pelagos.llm.common import saved, text_bytes, unused
 from pelagos.llm.components import components
 
 SEED, BITS, CHUNK = 42, 64, 1 << 16
@@ -113,5 +113,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = near_classes(prints, id_col, radius)
     gone = prints.join(classes, "fp").where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "_own").distinct()
     gone = saved(gone, "gone")
-    tagged = docs.withColumn("_own_text", own)
-    return tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged["_own_text"] == gone["_own"]), "left_anti").drop("_own_text")
+    mark = unused("_own_text", docs)
+    tagged = docs.withColumn(mark, own)
+    return tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged[mark] == gone["_own"]), "left_anti").drop(mark)
