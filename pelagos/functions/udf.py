@@ -104,7 +104,7 @@ def _array(series, func: Raw, kwargs: dict, dtype: np.dtype):
 
 def _sorted(series):
     name = fresh("s")
-    plan = Plan(series._plan.sdf.select(series._expr.alias(name)), ((name, True),), "key" if t.is_numeric(series.dtype) else "few")
+    plan = Plan(series._plan.sdf.select(series._expr.alias(name)), ((name, True),), "few" if series._plan.parts == "few" else "key")
     plan, (expr,) = series._plan.zipped(plan, [F.col(name)])
     return series._like(plan, expr, series.dtype)
 

@@ -70,7 +70,7 @@ class DataFrame:
         kinds = {f.name: t.from_spark(f.dataType) for f in sdf.schema}
         own = sdf.select(*[sdf[f"`{c}`"].alias(n) for c, n in names.items()])
         if order_by:
-            plan = Plan(own, tuple((names[c], True) for c in order_by), "key" if t.is_numeric(kinds[order_by[0]]) else "few")
+            plan = Plan(own, tuple((names[c], True) for c in order_by), "key" if t.is_numeric(kinds[order_by[0]]) or kinds[order_by[0]] == t.STRING else "few")
         else:
             at = fresh("at")
             plan = Plan(own.withColumn(at, F.monotonically_increasing_id()), ((at, True),), "key")
@@ -418,7 +418,7 @@ class DataFrame:
         sdf = plan.sdf.groupBy(*[self._cols[n][0].alias(k) for n, k in keys.items()]).agg(*sums)
         cols = {n: (F.col(keys[n] if n in keys else rest[n]), d) for n, (_, d) in self._cols.items()}
         order = tuple((c, True) for c in (*labels, *keys.values()))
-        return DataFrame._of(Plan(sdf, order), cols, tuple(x._replace(expr=F.col(v)) for x, v in zip(levels, labels)), self._multi)
+        return DataFrame._of(Plan(sdf, order, "few" if plan.parts == "few" else "key"), cols, tuple(x._replace(expr=F.col(v)) for x, v in zip(levels, labels)), self._multi)
 
     # joins
 

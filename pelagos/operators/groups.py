@@ -40,7 +40,7 @@ class DataFrameGroupBy:
             values[name] = (F.col(column), kind)
         sdf = frame._plan.sdf.groupBy(*[e.alias(k) for k, _, e, _ in keys]).agg(*made)
         levels = tuple(Level(name, F.col(k), dtype) for k, name, _, dtype in keys)
-        return DataFrame._of(Plan(sdf, tuple((k, True) for k, *_ in keys)), values, levels, len(keys) > 1)
+        return DataFrame._of(Plan(sdf, tuple((k, True) for k, *_ in keys), "few" if frame._plan.parts == "few" else "key"), values, levels, len(keys) > 1)
 
     def min(self):
         return self._aggregate("min")

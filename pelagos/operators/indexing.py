@@ -46,4 +46,4 @@ def taken(plan: Plan, labels: tuple[Level, ...] | None, positions: Vector, missi
     sdf = side.join(plan.sdf, F.col(at) == F.col(plan.position), "left" if missing else "inner").drop(at)
     if missing:
         levels = tuple(x._replace(expr=t.or_missing(x.expr, x.dtype)) for x in levels)
-    return Plan(sdf, ((order, True),), "few", None, order if missing else None), levels
+    return Plan(sdf, ((order, True),), "few" if wanted.parts == "few" else "key", None, order if missing else None), levels

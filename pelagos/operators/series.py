@@ -96,7 +96,7 @@ class Series(Vector):
     def unique(self) -> Series:
         """Distinct elements, in no order, without labels of their own."""
         name = fresh("u")
-        return Series._of(Plan(self._plan.sdf.select(self._expr.alias(name)).distinct(), ((name, True),)), F.col(name), self.dtype, self.name, None)
+        return Series._of(Plan(self._plan.sdf.select(self._expr.alias(name)).distinct(), ((name, True),), "few" if self._plan.parts == "few" else "key"), F.col(name), self.dtype, self.name, None)
 
     def apply(self, func, mapping: dict | None = None, new_dtype=None, **kwargs) -> Series:
         """A function of the library (``pelagos.sqrt``), one from Column to Column, one made by ``raw``, or SQL text.

@@ -31,7 +31,7 @@ def fresh(of: str = "c") -> str:
 
 
 class Plan:
-    """``order``: (column, ascending) pairs. ``parts``: for the order's first column, "few" (made on the driver), "file" or "key".
+    """``order``: (column, ascending) pairs. ``parts``: "few" for rows that the driver made, else what the order's first column is: "file" or "key".
 
     ``rows`` stands for the rows and their order: plans that share it differ in columns only, so expressions over them combine
     without a join.
@@ -77,7 +77,8 @@ class Plan:
             plan, name = plan.with_column(expr, "s")
             order.append((name, up))
         kind = dict(plan.sdf.dtypes)[order[0][0]]
-        parts = "key" if kind in ("smallint", "int", "bigint", "float", "double") else "few"
+        # rows from the driver are few however they are sorted
+        parts = "key" if self.parts != "few" and kind in ("boolean", "smallint", "int", "bigint", "float", "double", "string") else "few"
         return plan._made(lambda p: Plan(p.sdf, (*order, *p.order), parts, label=p.label))
 
     def head(self, n: int) -> Plan:
@@ -117,7 +118,7 @@ class Plan:
             return self
         name = fresh("pos")
         part = self._part()
-        if part is None:  # rows that the driver made, or keys without ranges
+        if part is None:
             at = F.row_number().over(Window.orderBy(*self.sort_keys())) - 1 if self.order else F.monotonically_increasing_id()
             return Plan(self.sdf.withColumn(name, at.cast("long")), self.order, self.parts, self.rows, name, self.label)
         parted = self.sdf.withColumn(part_name := fresh("part"), part)
@@ -130,24 +131,30 @@ class Plan:
         return Plan(sdf, self.order, self.parts, self.rows, name, self.label)
 
     def _part(self) -> Column | None:
-        """A number or name that rises with the order and has few rows for each of its values."""
-        if not self.order:
+        """What rises with the order and has few rows for each of its values; None for rows that the driver made."""
+        if not self.order or self.parts == "few":
             return None
         first, up = self.order[0]
         if self.parts == "file":
             return F.col(first)
-        if self.parts != "key":
-            return None
+        kind = dict(self.sdf.dtypes)[first]
+        if kind == "string":  # by the first seven bytes
+            start = F.hex(F.substring(F.col(first).cast("binary"), 1, 7))
+            key = F.conv(F.rpad(start, 14, "0"), 16, 10).cast("double")
+        else:
+            key = F.col(first).cast("double")
         # the only action in building a plan: RANGES numbers come back
         shares = [i / RANGES for i in range(1, RANGES)]
-        found = self.sdf.agg(F.percentile_approx(F.col(first).cast("double"), shares, 10 * RANGES)).first()[0]
-        bounds = sorted(set(found or []))
-        if len(bounds) < 2:
-            return None
-        key = F.col(first).cast("double")
-        at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: key > b))
-        # NULL comes first in a rising order and last in a falling one
-        return F.coalesce(at, F.lit(-1)) if up else -F.coalesce(at, F.lit(-1))
+        found = self.sdf.agg(F.percentile_approx(key, shares, 10 * RANGES)).first()[0]
+        bounds = F.array(*map(F.lit, sorted(set(found or [0.0]))))
+        # ranges between the bounds are even, those of a bound itself odd: a frequent key has a range of its own
+        at = F.size(F.filter(bounds, lambda b: key > b)) * 2 + F.array_contains(bounds, key).cast("int")
+        at = F.coalesce(at, F.lit(-1))  # NULL comes first in a rising order and last in a falling one
+        place = at if up else -at
+        if kind != "string" and len(self.order) > 1 and self.order[1][1] and self.order[1][0].startswith("_file"):
+            # rows of a frequent key are in the order of their files
+            return F.struct(place.alias("range"), F.when(at % 2 != 0, F.col(self.order[1][0])).alias("file"))
+        return place
 
     def zipped(self, other: Plan, exprs: list[Column]) -> tuple[Plan, list[Column]]:
         """This plan with expressions over another: (plan, expressions over it), matched by position unless they share rows."""
