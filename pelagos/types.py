@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +31,26 @@ _FROM_SPARK = {
 MISSING = {"h": -999, "i": -999, "l": -999, "q": -999, "f": -999.0, "d": -999.0, "S": "None"}
 
 
+_mode = ContextVar("missing", default="sentinel")
+
+
+@contextmanager
+def missing_as(mode: str):
+    """While it lasts, what new expressions take for missing: "sentinel" (MISSING and NULL; outer joins and the like give MISSING)
+    or "null" (NULL alone)."""
+    if mode not in ("sentinel", "null"):
+        raise ValueError("the mode is sentinel or null")
+    token = _mode.set(mode)
+    try:
+        yield
+    finally:
+        _mode.reset(token)
+
+
+def _sentinel(dtype: np.dtype):
+    return MISSING.get(dtype.char) if _mode.get() == "sentinel" else None
+
+
 def dtype_of(kind) -> np.dtype:
     """A dtype for anything that names one; TypeError for those that have no counterpart."""
     dtype = np.dtype(kind)
@@ -80,19 +103,19 @@ def literal(value, dtype: np.dtype) -> Column:
 
 
 def missing(dtype: np.dtype) -> Column:
-    return F.lit(MISSING.get(dtype.char)).cast(spark_type(dtype) if dtype != OBJECT else "string")
+    return F.lit(_sentinel(dtype)).cast(spark_type(dtype) if dtype != OBJECT else "string")
 
 
 def is_missing(expr: Column, dtype: np.dtype) -> Column:
     """NULL, or the value that stands for missing."""
-    if dtype.char not in MISSING:
+    if _sentinel(dtype) is None:
         return expr.isNull()
     return expr.isNull() | (expr == missing(dtype))
 
 
 def or_missing(expr: Column, dtype: np.dtype) -> Column:
     """NULL as the value that stands for missing."""
-    return expr if dtype.char not in MISSING else F.coalesce(expr, missing(dtype))
+    return expr if _sentinel(dtype) is None else F.coalesce(expr, missing(dtype))
 
 
 def is_scalar(value) -> bool:

@@ -265,6 +265,17 @@ def test_missing_data():
         df.fillna([1])
 
 
+def test_missing_data_as_nulls():
+    with pg.missing_as("null"):
+        joined = df1().merge(df2(), how="left", on="a")
+        assert joined["c"].isna().values.tolist() == [True, False, True, False, True]
+        assert joined["c"].dropna().sum().evaluate() == 9 and joined["c"].sum().evaluate() == 9
+        assert joined["d"].fillna("x").values.tolist() == [b"x", b"abc", b"x", b"def", b"x"]
+        assert missing()["b"].isna().values.tolist() == [False] * 5
+    with pytest.raises(ValueError), pg.missing_as("nan"):
+        pass
+
+
 def test_empty_frames():
     empty = pg.DataFrame({}, pg.Index(np.arange(0)))
     assert empty.empty and len(empty) == 0 and values(empty.min()) == []
