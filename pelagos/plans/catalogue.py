@@ -482,7 +482,7 @@ def csv_roundtrip(n):
     from pelagos.plans.plan import session
     from pelagos.sources.files import read_csv
 
-    shared = session().sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    shared = session().conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
     path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
     n.to_csv(path, index=False)
     return read_csv(path).to_spark()
