@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,15 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a local session gets a temporary folder; a cluster gets an error, as a folder
     of one machine is of no use there.
     """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir"):
+    if found := spark.conf.get("spark.checkpoint.dir", ""):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        import atexit
-
         _own[app] = tempfile.mkdtemp(prefix="pelagos-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return f"file://{_own[app]}"
