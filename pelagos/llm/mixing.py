@@ -69,7 +69,8 @@ def mixed(
     sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *carry), "sizes")
     named = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     order = sized.select("*", F.col("source").isNull().cast("int").alias("last"), (-F.col("size")).alias("falling"))
-    placed = ranked(order, "last", "source", "falling", "id", name="mix")
+    carried = [c for c in sized.columns if c not in ("id", "source", "size")]
+    placed = ranked(order, "last", "source", "falling", "id", *carried, name="mix")
     # where each source starts: a minimum for each source, combined in each task first
     starts = placed.groupBy("source").agg(F.min("rank").alias("start"))
     plan = saved(named.join(starts, named.source.eqNullSafe(starts.source)).select(named.source.alias("of"), "source_size", "target", "start"), "plan")
@@ -78,7 +79,7 @@ def mixed(
     passed = lambda k: F.shiftright(offset("of", seed) + k * rate, 24)
     joined = placed.join(plan, placed.source.eqNullSafe(plan.of))
     copies = (passed(at + 1) - passed(at)).alias("copies")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies, *[c for c in sized.columns if c not in ("id", "source", "size")])
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies, *carried)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
