@@ -33,13 +33,15 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article aside blockquote body button details dialog div dl fieldset footer form header html label main menu nav ol p search section select span table td tr ul".split())
+CONTAINER = frozenset("article aside blockquote body button dd details dialog div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header html label li main menu nav ol p search section select span table td th tr ul".split())
+#: Their start ends one of the same kind that is open right above.
+ENDS_ITSELF = frozenset("p li dd dt td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 APART = frozenset("nav aside footer form menu dialog select button fieldset search datalist".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
-    "sidebar footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay comment comments "
+    "sidebar footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay disclaimer comment comments "
     "commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets toolbar pagination pager login".split()
 )
 HEADER_NAMES = frozenset("header topbar".split())
@@ -130,8 +132,8 @@ def blocks(html: str) -> list[Block]:
                     close() if (stack[-1][1] if stack else False) != apart else None
                 apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             continue
-        if tag == "p" and stack and stack[-1][0] == "p" or tag == "body" and any(x[0] == "body" for x in stack):
-            stack.pop() if tag == "p" else None
+        if tag in ENDS_ITSELF and stack and stack[-1][0] == tag:
+            stack.pop()
             apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         own, begins = _signs(tag, m["more"] or "", main)
         if own and not apart and tag not in BLOCK:

@@ -70,6 +70,13 @@ def test_main_text_of_a_page():
         assert main_text(html) == text
 
 
+def test_main_text_by_names_and_neighbours():
+    long = "It is the text of a paragraph that is long and that has the words which are in all of the texts, so that it is decided by itself and by nothing else. "
+    page = f"<body><ul><li class='comment'>bad one<li>ok item</ul><h3 class='related'>More</h3><h2>Head</h2><p>{long}<p>short<div id=sidebar><p>{long}</div><p>{long}</p><div><a href=a>one</a> <a href=b>two</a></div><p>last</body>"
+    assert main_text(page).split("\n") == ["ok item", "Head", long.strip(), "short", long.strip()]
+    assert main_text("<div><p>" + "a b c " * 100 + "</p></div>") == ("a b c " * 100).strip()  # no stop words, nothing else near
+
+
 def test_extraction_of_whole_tables(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "<p>é</p>")], "page_id long, url string, html string")
     found = extracted(df).collect()
