@@ -403,22 +403,29 @@ class DataFrame:
         if keep not in merge:
             raise ValueError("keep is min, max, + or *")
         names = self._subset(subset)
-        plan, levels = labelled(self._plan, self._labels)
         keys = {n: fresh("k") for n in names}
         rest = {n: fresh("v") for n in self._cols if n not in keys}
-        labels = [fresh("i") for _ in levels]
+        labels = [fresh("i") for _ in self._labels or ["default"]]
 
         def merged(expr: Column, dtype: np.dtype, how: str) -> Column:
             if how in ("+", "*") and not t.is_numeric(dtype):
                 raise TypeError(f"{how} of {dtype}")
-            return t.cast(merge[how](expr), dtype) if dtype != t.OBJECT else merge[how](expr)
+            return merge[how](expr) if dtype == t.OBJECT else t.cast(merge[how](expr), dtype)
 
         sums = [merged(*self._cols[n], keep).alias(v) for n, v in rest.items()]
-        sums += [merged(x.expr, x.dtype, keep if subset is not None and x.dtype != t.STRING or keep in ("min", "max") and subset is not None else "min").alias(v) for x, v in zip(levels, labels)]
-        sdf = plan.sdf.groupBy(*[self._cols[n][0].alias(k) for n, k in keys.items()]).agg(*sums)
+        of_labels = "min" if subset is None else keep  # the least label of rows that are alike in all columns
+        for x, v in zip(self._labels or (), labels):
+            sums.append(merged(x.expr, x.dtype, of_labels if t.is_numeric(x.dtype) or of_labels == "max" else "min").alias(v))
+        order = tuple((c, True) for c in (*(labels if self._labels else ()), *keys.values()))
+
+        def step(plan: Plan) -> Plan:
+            default = [merged(F.col(plan.label), t.LONG, of_labels).alias(labels[0])] if plan.label else []
+            sdf = plan.sdf.groupBy(*[self._cols[n][0].alias(k) for n, k in keys.items()]).agg(*sums, *default) if sums or default else plan.sdf.select(*[self._cols[n][0].alias(k) for n, k in keys.items()]).distinct()
+            return Plan(sdf, order, "few" if plan.parts == "few" else "key", label=labels[0] if plan.label else None)
+
         cols = {n: (F.col(keys[n] if n in keys else rest[n]), d) for n, (_, d) in self._cols.items()}
-        order = tuple((c, True) for c in (*labels, *keys.values()))
-        return DataFrame._of(Plan(sdf, order, "few" if plan.parts == "few" else "key"), cols, tuple(x._replace(expr=F.col(v)) for x, v in zip(levels, labels)), self._multi)
+        levels = tuple(x._replace(expr=F.col(v)) for x, v in zip(self._labels, labels)) if self._labels else None
+        return DataFrame._of(self._plan._made(step), cols, levels, self._multi)
 
     # joins
 

@@ -18,6 +18,8 @@ _names = count()
 
 #: Up to here a leading slice is a top-k; beyond, it is a filter on positions.
 TOP_ROWS = 10_000
+#: Up to so many parts have their first positions looked up in a map, and beyond in a broadcast table.
+MAP_PARTS = 1_000
 #: Ranges that a sorted numeric key is cut into for positions.
 RANGES = 200
 
@@ -125,9 +127,14 @@ class Plan:
         # one row for each part, whose number is that of files or ranges
         before = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
         bases = parted.groupBy(F.col(part_name).alias("of")).agg(F.count(F.lit(1)).alias("n")).select("of", F.coalesce(before, F.lit(0)).alias("base"))
-        within = F.row_number().over(Window.partitionBy(part_name).orderBy(*self.sort_keys())) - 1
-        joined = parted.withColumn(name, within).join(F.broadcast(bases), F.col(part_name).eqNullSafe(F.col("of")))
-        sdf = joined.withColumn(name, (F.col(name) + F.col("base")).cast("long")).drop("of", "base", part_name)
+        within = (F.row_number().over(Window.partitionBy(part_name).orderBy(*self.sort_keys())) - 1).cast("bigint")
+        if self.parts != "file" or len(self.sdf.inputFiles()) <= MAP_PARTS:
+            # as an expression alone, it is pruned with its window wherever nobody asks for the position
+            base = bases.agg(F.map_from_entries(F.collect_list(F.struct("of", "base")))).scalar()
+            sdf = parted.withColumn(name, within + F.coalesce(base[F.col(part_name)], F.lit(0))).drop(part_name)
+        else:
+            joined = parted.withColumn(name, within).join(F.broadcast(bases), F.col(part_name).eqNullSafe(F.col("of")))
+            sdf = joined.withColumn(name, F.col(name) + F.col("base")).drop("of", "base", part_name)
         return Plan(sdf, self.order, self.parts, self.rows, name, self.label)
 
     def _part(self) -> Column | None:
