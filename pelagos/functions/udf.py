@@ -130,5 +130,5 @@ def load_cudf(path: str, name: str, arguments: list, result) -> str:
 
     call.__signature__ = inspect.Signature([inspect.Parameter(f"c{i}", inspect.Parameter.POSITIONAL_ONLY, annotation=pd.Series) for i in range(len(codes))], return_annotation=pd.Series)
     call.__annotations__ = {**{f"c{i}": pd.Series for i in range(len(codes))}, "return": pd.Series}
-    session().udf.register(name, F.pandas_udf(call, t.spark_type(back), F.PandasUDFType.SCALAR))
+    session().udf.register(name, F.pandas_udf(call, t.spark_type(back)))
     return name
