@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The terms are those that labelled texts associate with either label (by chi-squared and by ratio): a toxic text is toxic by a
-few of its words, and the cosine over all of them would compare its subject. Inverse document frequencies are over all
-documents. The index has the examples' postings in blocks of consecutive examples with the greatest weight of each term
+The terms are those that labelled texts associate with label 1 (by chi-squared and by ratio): a toxic text is toxic by a
+few of its words, and the cosine over all of them would compare its subject. A cosine doesn't see how much of a text its terms
+are, so that is among them, as two signs: the number of different terms, and how many words of the text come on one of
+theirs. Inverse document frequencies, those of the signs too, are over all documents. The index has the examples' postings in blocks of consecutive examples with the greatest weight of each term
 in each block (Ding and Suel, "Faster Top-k Document Retrieval Using Block-Max Indexes", SIGIR 2011): blocks are visited by
 falling bound until none can hold a nearer example, so the k nearest are exact. Votes weigh by cosine and are calibrated
 on the examples themselves, each scored without itself.
@@ -25,8 +26,14 @@ from pelagos.llm.common import saved, text_bytes
 SAMPLE_ROWS = 20_000
 #: Most terms that are chosen, by chi-squared.
 MOST_TERMS = 5_000
-CHI_SQUARED, RATIO, LEAST_DOCS = 12.0, 3.0, 5
-NEIGHBOURS, BLOCK = 15, 64
+#: Chi-squared of 30 comes about by chance once in 2 * 10**7 terms.
+CHI_SQUARED, RATIO, LEAST_DOCS = 30.0, 3.0, 5
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
+#: Most examples that the calibration is fitted on: evenly spaced among those of the sample.
+CALIBRATE_ROWS = 1_500
+
+#: The signs' numbers follow those of the terms: first by the number of different terms, then by the words for each.
+COUNT_SIGNS, SHARE_SIGNS, SIGN_WEIGHT = 6, 16, 2.0
 
 # lower-cases A-Z and turns all ASCII that is no letter or digit into spaces
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -41,6 +48,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def signs(different: int, found: int, words: int, n_terms: int) -> list[int]:
+    """The two signs of a text with some of the ``n_terms`` terms."""
+    share = min(SHARE_SIGNS - 1, (words // found).bit_length())
+    return [n_terms + min(different, COUNT_SIGNS) - 1, n_terms + COUNT_SIGNS + share]
+
+
 class BlockMaxIndex:
     """Examples as unit vectors. ``rows``: for each example its (term, weight) pairs; ``labels``: 0 or 1."""
 
@@ -53,37 +66,44 @@ class BlockMaxIndex:
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.blocks = -(-n // BLOCK)
-        # the greatest weight of a term in a block, for pairs that occur, by term
-        key = term[order] * max(self.blocks, 1) + self.example // BLOCK
-        self.pair, at = np.unique(key, return_index=True)
-        self.greatest = np.maximum.reduceat(self.weight, at) if n and len(at) else np.zeros(0)
-        self.first = at
-        self.pair_starts = np.searchsorted(self.pair, np.arange(n_terms + 1) * max(self.blocks, 1))
+        self.block, self.blocks = self.example // BLOCK, -(-n // BLOCK)
+        # the greatest weight of a term in each block that has it, term by term
+        key = term[order] * max(self.blocks, 1) + self.block
+        pair, at = np.unique(key, return_index=True)
+        self.greatest = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
+        self.pair_block = pair % max(self.blocks, 1)
+        self.pair_starts = np.searchsorted(pair, np.arange(n_terms + 1) * max(self.blocks, 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the ``k`` nearest with a cosine above 0, falling; ties by example. ``without``: not this one."""
-        bound = np.zeros(self.blocks)
-        spans = [(self.pair_starts[t], self.pair_starts[t + 1]) for t in term]
-        for (a, b), w in zip(spans, weight):
-            bound[self.pair[a:b] % max(self.blocks, 1)] += w * self.greatest[a:b]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best_s) == k and bound[block] < best_s[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for (a, b), w, t in zip(spans, weight, term):
-                i = a + np.searchsorted(self.pair[a:b], t * self.blocks + block)
-                if i < b and self.pair[i] == t * self.blocks + block:
-                    lo, hi = self.first[i], self.first[i + 1] if i + 1 < len(self.first) else len(self.example)
-                    scores[self.example[lo:hi] - block * BLOCK] += w * self.weight[lo:hi]
-            hit = np.nonzero(scores > 0)[0]
-            e, s = np.concatenate([best_e, hit + block * BLOCK]), np.concatenate([best_s, scores[hit]])
+        """(examples, cosines) of the ``k`` nearest with a cosine above 0, falling; ties by example. ``without``: not this one.
+
+        The blocks with the highest bounds are scored first, then all others whose bound reaches the k-th cosine so far.
+        """
+        bound, scores = np.zeros(self.blocks), np.zeros(len(self.labels))
+        for t, w in zip(term, weight):
+            a, b = self.pair_starts[t], self.pair_starts[t + 1]
+            bound[self.pair_block[a:b]] += w * self.greatest[a:b]
+
+        def add(blocks: np.ndarray) -> float:
+            """Scores the examples of blocks; the k-th best cosine of all so far."""
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            for t, w in zip(term, weight):
+                a, b = self.starts[t], self.starts[t + 1]
+                there = chosen[self.block[a:b]]
+                scores[self.example[a:b][there]] += w * self.weight[a:b][there]  # an example is in a list once
             if without >= 0:
-                e, s = e[e != without], s[e != without]
-            top = np.lexsort((e, -s))[:k]
-            best_e, best_s = e[top], s[top]
-        return best_e, best_s
+                scores[without] = 0
+            return float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
+
+        order = np.argsort(-bound, kind="stable")
+        kth, rest = add(order[:FIRST_BLOCKS]), order[FIRST_BLOCKS:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-12)]
+        if len(rest):
+            kth = add(rest)
+        found = np.nonzero((scores > 0) & (scores >= kth))[0]
+        top = found[np.lexsort((found, -scores[found]))[:k]]
+        return top, scores[top]
 
     def vote(self, near: tuple[np.ndarray, np.ndarray], prior: float) -> float:
         """The share of label 1 by cosine, with one pseudo-neighbour of cosine 0.1 that has the prior."""
@@ -107,7 +127,8 @@ class Scorer:
     """What the executors need: terms, inverse document frequencies, the index, and the calibration."""
 
     def __init__(self, idf: np.ndarray, examples: list[tuple[list[int], list[int], int]], k: int = NEIGHBOURS) -> None:
-        self.idf, self.k = idf, k
+        self.k = k
+        self.idf = idf * np.where(np.arange(len(idf)) < len(idf) - COUNT_SIGNS - SHARE_SIGNS, 1.0, SIGN_WEIGHT)
         own = [(*self.vector(t, n), y) for t, n, y in examples]
         known = [r for r in own if len(r[0])]
         bare = [y for t, _, y in own if not len(t)]
@@ -115,8 +136,9 @@ class Scorer:
         # texts without any term: the share among such examples, with one more that has the prior
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
         self.index = BlockMaxIndex([r[:2] for r in known], np.array([y for *_, y in known]), len(idf))
-        votes = np.array([self.index.vote(self.index.nearest(t, w, k, i), self.prior) for i, (t, w, _) in enumerate(known)])
-        self.steps = isotonic(votes, self.index.labels) if len(known) >= 50 else None
+        tried = range(0, len(known), max(1, -(-len(known) // CALIBRATE_ROWS)))
+        votes = np.array([self.index.vote(self.index.nearest(*known[i][:2], k, i), self.prior) for i in tried])
+        self.steps = isotonic(votes, self.index.labels[list(tried)]) if len(known) >= 50 else None
 
     def vector(self, term: list[int], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(term, np.int64)
@@ -138,7 +160,7 @@ class Scorer:
 
 
 def chosen_terms(sample: DataFrame, most: int = MOST_TERMS) -> list[bytes]:
-    """Terms of a table (_text binary, _label) that go with a label; at most ``most`` reach the driver."""
+    """Terms of a table (_text binary, _label) that go with label 1; at most ``most`` reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,22 +180,28 @@ def chosen_terms(sample: DataFrame, most: int = MOST_TERMS) -> list[bytes]:
     n = float(n1 + n0)
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (float(n1) * n0 * (a + b) * F.greatest(n - a - b, F.lit(1.0)))
     p, q = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
-    kept = found.withColumn("chi", chi).where((a + b >= LEAST_DOCS) & (F.col("chi") >= CHI_SQUARED) & (F.greatest(p / q, q / p) >= RATIO))
+    kept = found.withColumn("chi", chi).where((a + b >= LEAST_DOCS) & (F.col("chi") >= CHI_SQUARED) & (p >= RATIO * q))
     return [bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()]
 
 
 def term_counts(docs: DataFrame, vocabulary: list[bytes], text_col: str, keep: tuple) -> DataFrame:
-    """(*keep, terms, counts): the vocabulary's terms in each whole text and how often each is there."""
+    """(*keep, terms, counts): the vocabulary's terms in each whole text and how often each is there; after them its signs."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # at most MOST_TERMS
     rows = docs.select(text_bytes(text_col).alias("_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = number.value
         for batch in batches:
-            found = [Counter(known[t] for t in terms(x.as_py()) if t in known) for x in batch.column(0)]
-            ids = pa.array([sorted(c) for c in found], pa.list_(pa.int32()))
-            n = pa.array([[c[t] for t in sorted(c)] for c in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, n], names=[*batch.schema.names[1:], "terms", "counts"])
+            ids, n = [], []
+            for text in batch.column(0):
+                words = terms(text.as_py())
+                found = Counter([known[w] for w in words if w in known])
+                if found:
+                    found.update(signs(len(found), found.total(), len(words), len(known)))
+                ids.append(sorted(found))
+                n.append([found[t] for t in ids[-1]])
+            columns = [pa.array(x, pa.list_(pa.int32())) for x in (ids, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*batch.schema.names[1:], "terms", "counts"])
 
     schema = rows.drop("_text").schema.add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
     return rows.mapInArrow(run, schema)
@@ -194,7 +222,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = saved(term_counts(docs, vocabulary, text_col, (F.col(id_col).alias("id"),)), "terms")
     total = counted.count()
     df = {r["t"]: r["n"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each chosen term
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary) + COUNT_SIGNS + SHARE_SIGNS)])
     # a labelled document may be repeated in docs: one example for each label
     own = sample.select("_id", "_label").distinct().join(counted, F.col("_id") == F.col("id")).dropDuplicates(["_id", "_label"])
     examples = own.select("_id", "_label", "terms", "counts").orderBy("_id", "_label").collect()  # at most sample_rows, of a few numbers each
@@ -210,5 +238,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 columns.append(pa.array([[{"id": str(named.value[i][0]), "cosine": c, "label": named.value[i][1]} for i, c in zip(e, s)] for _, e, s in found], evidence))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "evidence"][: len(columns)])
 
-    out = counted.select("id", "terms", "counts").mapInArrow(run, f"id {kind}, score double" + ", evidence array<struct<id:string,cosine:double,label:int>>" * with_evidence)
+    # the table is small for its rows' work, so it is dealt evenly
+    dealt = counted.select("id", "terms", "counts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = dealt.mapInArrow(run, f"id {kind}, score double" + ", evidence array<struct<id:string,cosine:double,label:int>>" * with_evidence)
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", *["evidence"] * with_evidence)
