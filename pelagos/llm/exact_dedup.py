@@ -210,15 +210,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = digests(docs, id_col, text_col)
     index = saved(live_index(keys), "live")
     found = keys.join(index, "digest").select("digest", "id", (F.col("row") == F.col("keep_row")).alias("kept"), "keep_id")
-    # rows that go, by id and digest; a row repeated with the id that stays goes by dropDuplicates below
+    # rows that go, by id and digest; a row repeated with the id that stays goes by dropDuplicates below. Their number grows with
+    # the corpus, so they are met by a merge join at every size and never broadcast
     gone = saved(found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "gone")
     again = saved(found.where("not kept").where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "again")
     own = unused("_digest", docs)
     tagged = docs.withColumn(own, text_digest(text_col))
     same = lambda other: tagged[id_col].eqNullSafe(other["id"]) & (tagged[own] == other["digest"])
     if again.isEmpty():
-        return tagged.join(gone, same(gone), "left_anti").drop(own)
-    out = gone.unionByName(again)
+        return tagged.join(gone.hint("merge"), same(gone), "left_anti").drop(own)
+    out = gone.unionByName(again).hint("merge")
     single = tagged.join(out, same(out), "left_anti")
-    repeated = tagged.join(again, same(again), "left_semi").dropDuplicates([id_col, own])
+    repeated = tagged.join(again.hint("merge"), same(again), "left_semi").dropDuplicates([id_col, own])
     return single.unionByName(repeated).drop(own)
