@@ -153,9 +153,13 @@ class Plan:
         # the only action in building a plan: RANGES numbers come back
         shares = [i / RANGES for i in range(1, RANGES)]
         found = self.sdf.agg(F.percentile_approx(key, shares, 10 * RANGES)).first()[0]
-        bounds = F.array(*map(F.lit, sorted(set(found or [0.0]))))
+        ends = sorted(set(found or [0.0]))
+        bounds, step = F.array(*map(F.lit, ends)), max(1, int(len(ends) ** 0.5))
         # ranges between the bounds are even, those of a bound itself odd: a frequent key has a range of its own
-        at = F.size(F.filter(bounds, lambda b: key > b)) * 2 + F.array_contains(bounds, key).cast("int")
+        # first among every step-th bound, then among those up to the next of them
+        block = F.size(F.filter(F.array(*map(F.lit, ends[step - 1 :: step])), lambda b: key > b)) * step
+        near = F.slice(bounds, block + 1, F.lit(step))
+        at = (block + F.size(F.filter(near, lambda b: key > b))) * 2 + F.array_contains(near, key).cast("int")
         at = F.coalesce(at, F.lit(-1))  # NULL comes first in a rising order and last in a falling one
         place = at if up else -at
         if kind != "string" and len(self.order) > 1 and self.order[1][1] and self.order[1][0].startswith("_file"):
