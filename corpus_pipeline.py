@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from pelagos.llm import exact_dedup, mixing, packing, quality_rules, similar
 from pelagos.llm.common import saved
 from pelagos.llm.queries import table, tokenizer_path
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each component of texts with a similarity of 0.8 or more, by shingles of five words, the document with the least id."""
+    return similar.drop_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

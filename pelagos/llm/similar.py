@@ -1,0 +1,121 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands, every pair verified.
+
+A fingerprint of 64 bits can't tell texts at a similarity of 0.8 from others: they differ in up to a dozen bits. So texts
+meet on bands of minima (20 of 5 each: two at 0.8 share one with a probability of 0.9996, two at 0.3 with one of 0.05), and
+those that meet are compared by their entire sets of shingles. In a bucket each text is compared with the first and with
+the ``REACH`` before it, in an order that is another one in each bucket; so the pairs grow with the rows even where a group
+of near copies is large. Pairs that the first comparisons have connected already aren't compared again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pelagos.llm.common import saved, text_bytes, unused
+from pelagos.llm.components import components
+
+SEED, BANDS, ROWS, REACH, CHUNK = 42, 20, 5, 8, 1 << 12
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, width: int = 5) -> set[bytes]:
+    """All runs of ``width`` words of UTF-8 bytes, in lower case (A-Z). Fewer words: one run of all of them."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similarity(a: bytes, b: bytes, width: int = 5) -> float:
+    x, y = shingles(a, width), shingles(b, width)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+def band_keys(text: bytes, width: int = 5) -> list[int]:
+    """A signed long for each band, from the minima of its hash functions over the shingles."""
+    found = shingles(text, width)
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+    least = reduce(np.minimum, ((_FACTORS[:, None] * h[at : at + CHUNK]).min(axis=1) for at in range(0, len(h), CHUNK))).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64).tolist()
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, _own, keys) for every row: ``_own`` stands for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([band_keys(t.as_py(), width) for t in batch.column(0)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], keys], names=[*batch.schema.names[1:], "keys"])
+
+    kept = docs.select(text_bytes(text_col).alias("_text"), F.col(id_col).alias(id_col), own_text(text_col).alias("_own"))
+    return kept.mapInArrow(run, kept.drop("_text").withColumn("keys", F.array(F.lit(0).cast("long"))).schema)
+
+
+def own_text(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def met(sketches: DataFrame) -> DataFrame:
+    """(a, b, early): texts that share a bucket; ``early``: those to be compared first."""
+    rows = sketches.dropDuplicates(["_own"]).select("_own", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "_own"), "_own")
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mates = [F.first("_own").over(before), *(F.lag("_own", k).over(order) for k in range(1, REACH + 1))]
+    listed = rows.select("_own", F.array(*mates).alias("mates")).where(F.col("mates")[1].isNotNull())  # not the first one
+    pairs = listed.select("_own", F.posexplode("mates").alias("at", "mate")).where("mate is not null and mate != _own")
+    return pairs.groupBy(F.least("_own", "mate").alias("a"), F.greatest("_own", "mate").alias("b")).agg((F.min("at") <= 1).alias("early"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """Those of a saved table (a, b) whose texts have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("_own")).distinct()
+    # only texts that meet others go on; a merge join at every size, as the list grows with the rows
+    texts = docs.select(own_text(text_col).alias("_own"), text_bytes(text_col).alias("_text")).join(named.hint("merge"), "_own", "left_semi")
+    texts = saved(texts.dropDuplicates(["_own"]), "texts")
+    one, other = texts.toDF("a", "_text_a"), texts.toDF("b", "_text_b")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "_text_a", "_text_b")
+    return saved(both.mapInArrow(run, pairs.select("a", "b").schema), "similar")
+
+
+def similar_roots(sketches: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """(node, root) for texts that are linked with a lesser one."""
+    pairs = saved(met(sketches), "met")
+    links = verified(pairs.where("early"), docs, text_col, width, least)
+    roots = components(links, "a", "b")
+    later = pairs.where("not early")
+    for side in ("a", "b"):
+        later = later.join(roots.toDF(side, f"root_{side}"), side, "left")
+    later = saved(later.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "later")
+    if later.isEmpty():
+        return roots
+    return components(links.unionByName(verified(later, docs, text_col, width, least)), "a", "b")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component of texts with a similarity of ``least`` or more.
+
+    All columns are kept. Rows of the same id and text are one document: they stay or go together. Rows with a null id stay
+    only if their whole component has null ids. A null text is an empty one; an empty table gives an empty one.
+    """
+    sketches = saved(sketched(docs, id_col, text_col, width), "sketches")
+    roots = similar_roots(sketches, docs, text_col, width, least)
+    rooted = sketches.select(id_col, "_own").join(roots, F.col("_own") == F.col("node"), "left").select(id_col, "_own", F.coalesce("root", "_own").alias("root"))
+    rooted = saved(rooted, "rooted")
+    classes = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    gone = rooted.join(classes, "root").where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "_own").distinct()
+    gone = saved(gone, "gone")
+    mark = unused("_own_text", docs)
+    tagged = docs.withColumn(mark, own_text(text_col))
+    return tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged[mark] == gone["_own"]), "left_anti").drop(mark)

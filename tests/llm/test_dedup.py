@@ -164,3 +164,45 @@ def test_cuckoo_index_with_equal_tags_and_buckets():
     assert all(index.find(d) == [d] for d in same)
     assert index.find(bytes(8) + b"\x07\x00" + b"\xff" * 22) is None
     assert index.false_hits == 1
+
+
+def test_similar_texts_are_dropped_by_the_pipeline(spark):
+    import random
+
+    import corpus_pipeline as cp
+    from pelagos.llm.similar import similarity
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        base = cases.words(rng, 300, 5000)
+        rows.append((3 * i, " ".join(base)))
+        for k in (1, 2):  # 5 or 9 words apart: 0.84 and 0.73 of the shingles, about
+            near = list(base)
+            for at in range(20, 20 + 30 * (5 if k == 1 else 9), 30):
+                near[at] = "changed%d" % k
+            rows.append((3 * i + k, " ".join(near)))
+    rows += [(1000 + i, " ".join(["same"] * 40 + [f"x{i}"] + ["w%d" % (j % 97) for j in range(300)])) for i in range(400)]  # one large group
+    rows += [(5000, None), (5001, ""), (5002, "one"), (5003, "ONE"), (None, "one"), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = lambda x, y: similarity((x or "").encode(), (y or "").encode()) >= 0.8
+    for a in range(0, 450, 3):
+        for x, y in ((a, a + 1), (a, a + 2), (a + 1, a + 2)):
+            if near(rows[x][1], rows[y][1]):
+                parent[find(y)] = find(x)
+    for x in range(451, 850):
+        if near(rows[450][1], rows[x][1]):
+            parent[find(x)] = 450
+    wanted = {rows[i][0] for i in range(850) if find(i) == i} | {5000, 5002}
+    assert len(wanted) == 150 + 150 + 1 + 2  # the first change is near, the second is not
+    found = [r[0] for r in cp.near(spark, docs, "").collect()]
+    assert sorted(x for x in found if x is not None) == sorted(wanted)
+    assert found.count(None) == 1
+    assert cp.near(spark, docs.limit(0), "").count() == 0
