@@ -27,7 +27,10 @@ STOP_WORDS = frozenset(
     "el los las y que se del al lo por con para una no su es como más pero o sus".split()
 )
 
-RAW = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|noframes|noembed|xmp"
+#: What is in them is text up to the closing tag, or to the page's end without one.
+RAW = "script|style|textarea|title|iframe|noframes|noembed|xmp"
+#: What is in them is left out, too, if they are closed; svg and math may close themselves.
+EMBEDDED = "svg|math|noscript|template|object|canvas|audio|video"
 BLOCK = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section "
@@ -48,10 +51,12 @@ HEADER_NAMES = frozenset("header topbar".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 _NODE = re.compile(
-    rf"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>)"
+    rf"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>)"
+    rf"|<(?P<embedded>{EMBEDDED})(?=[\s/>])(?P<inside>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in EMBEDDED.split("|")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
@@ -100,7 +105,9 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
         link_chars = 0
 
-    for m in _NODE.finditer(html):
+    at, unclosed = 0, set()
+    while m := _NODE.match(html, at):
+        at = m.end()
         if (text := m["text"]) is not None:
             parts.append(text)
             if link:
@@ -110,6 +117,14 @@ def blocks(html: str) -> list[Block]:
             if (m["raw"] or "").lower() in ("textarea", "iframe", "title"):
                 close()
             continue
+        if m["embedded"]:
+            name = m["embedded"].lower()
+            if name not in unclosed and not (name in ("svg", "math") and m["inside"].endswith("/")):
+                if closed := _CLOSED[name].search(html, at):
+                    at = closed.end()
+                else:  # nor is any later one
+                    unclosed.add(name)
+            continue
         tag = (m["tag"] or m["tag2"]).lower()
         ends = (m["end"] if m["tag"] else m["end2"]) == "/"
         if tag == "br":

@@ -77,6 +77,12 @@ def test_main_text_by_names_and_neighbours():
     assert main_text("<div><p>" + "a b c " * 100 + "</p></div>") == ("a b c " * 100).strip()  # no stop words, nothing else near
 
 
+def test_elements_that_are_left_out_end_where_they_end():
+    for tag in ('<svg-icon name="x"></svg-icon>', '<svg class="i"/>', "<math/>", "<video-player>", "<template-x></template-x>", "<script-loader>", "<svg>", "<video src=a>", "<svg><text>no</text></svg>", "<script>no</script>"):
+        assert main_text(f"<article><p>One.</p>{tag}<p>Two.</p></article>") == "One.\nTwo.", tag
+    assert main_text("<p>a" + "<video>" * 50_000 + "b") == "ab"
+
+
 def test_extraction_of_whole_tables(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "<p>é</p>")], "page_id long, url string, html string")
     found = extracted(df).collect()
