@@ -9,6 +9,7 @@ After Pomikálek, "Removing Boilerplate and Duplicate Content from Web Corpora"
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,10 +38,11 @@ BLOCK = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article aside blockquote body button dd details dialog div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header html label li main menu nav ol p search section select span table td th tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their start ends one of the same kind that is open right above.
 ENDS_ITSELF = frozenset("p li dd dt td th tr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-APART = frozenset("nav aside footer form menu dialog select button fieldset search datalist".split())
+APART = frozenset("nav aside footer menu dialog select button fieldset search datalist".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
@@ -48,6 +50,12 @@ APART_NAMES = frozenset(
     "commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets toolbar pagination pager login".split()
 )
 HEADER_NAMES = frozenset("header topbar".split())
+#: What of these names holds an article is a list of other ones.
+TEASER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended recommendations widget widgets".split())
+#: In a name, these say what a part has or lacks, not what it is: has-sidebar, no-nav.
+NO_SIGNS = frozenset("has with without no".split())
+#: How firmly a part is set apart: by names that an article's wrapper may have, by others, or as it isn't shown.
+BY_NAME, FIRMLY, HIDDEN = 1, 2, 3
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 _NODE = re.compile(
@@ -62,37 +70,53 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("apart", "chars", "heading", "link_chars", "main", "text", "words")
+    __slots__ = ("apart", "chars", "form", "heading", "link_chars", "main", "text", "words")
 
-    def __init__(self, text: str, link_chars: int, apart: bool, main: int, heading: bool) -> None:
+    def __init__(self, text: str, link_chars: int, apart: bool, main: int, heading: bool, form: int) -> None:
+        self.form = form
         self.text, self.chars, self.link_chars, self.apart, self.main, self.heading = text, len(text), link_chars, apart, main, heading
         self.words = text.split(" ")
 
 
-def _signs(tag: str, more: str, main: int) -> tuple[bool, bool]:
-    """(apart, main) that a tag starts, by itself."""
-    apart, begins = tag in APART or tag == "header" and not main, tag in ("article", "main")
+def _named(tag: str, attribute: str, value: str, main: int) -> int:
+    """How firmly the names of a class or an id set a part apart."""
+    if attribute == "id" and tag in HEADINGS:  # an anchor's name, after the heading's words
+        return 0
+    wanted = APART_NAMES if main else APART_NAMES | HEADER_NAMES
+    if tag in ("article", "main") or attribute == "id" and tag == "section" and main:
+        wanted = COMMENT_NAMES
+    names: set[str] = set()
+    for token in value.split():
+        parts = {x.lower() for x in _NAME.findall(token)}
+        if not parts & NO_SIGNS and (attribute == "class" or tag != "section" or parts <= APART_NAMES | HEADER_NAMES):
+            names |= parts | {token.lower()}
+    return FIRMLY if names & wanted & (COMMENT_NAMES | TEASER_NAMES) else BY_NAME if names & wanted else 0
+
+
+def _signs(tag: str, more: str, main: int) -> tuple[int, bool]:
+    """(apart, main) that a tag starts, by itself. Forms are left to :func:`labels`."""
+    apart, begins = FIRMLY if tag in APART or tag == "header" and not main else 0, tag in ("article", "main")
     if more and "=" in more or "hidden" in more:
         for m in _ATTRIBUTE.finditer(more):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
-                apart |= value.lower() in APART_ROLES
+                if value.lower() in APART_ROLES and not (tag == "form" and value.lower() == "form"):
+                    apart = max(apart, FIRMLY)
                 begins |= value.lower() in ("main", "article")
             elif name == "itemprop":
                 begins |= value == "articleBody"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                apart = True
+                apart = HIDDEN
             elif name in ("class", "id") and tag not in ("html", "body"):
-                names = {x.lower() for x in _NAME.findall(value)} | set(value.lower().split())
-                apart |= bool(names & (COMMENT_NAMES if tag in ("article", "main") else APART_NAMES if main or not names & HEADER_NAMES else APART_NAMES | HEADER_NAMES))
+                apart = max(apart, _named(tag, name, value, main))
     return apart, begins
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with character references decoded and white space as single spaces."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: tag, apart, number of the main part it is in
-    apart, main, mains, link, heading = False, 0, 0, 0, False
+    stack: list[tuple[str, int, int, int]] = []  # open containers: tag, apart, numbers of the main part and the form it is in
+    apart, main, mains, form, forms, link, heading = 0, 0, 0, 0, 0, 0, False
     parts: list[str] = []
     link_chars = 0
 
@@ -101,7 +125,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, min(link_chars, len(text)), apart, main, heading))
+                found.append(Block(text, min(link_chars, len(text)), bool(apart), main, heading, form))
             parts.clear()
         link_chars = 0
 
@@ -135,7 +159,7 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in BLOCK or tag == "button":
             close()
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not ends
+            heading = tag in HEADINGS and not ends
             link = 0 if tag not in ("p", "div", "li") or ends else link
         if tag not in CONTAINER or tag in VOID:
             continue
@@ -144,36 +168,39 @@ def blocks(html: str) -> list[Block]:
                 while stack.pop()[0] != tag:
                     pass
                 if tag not in BLOCK:
-                    close() if (stack[-1][1] if stack else False) != apart else None
-                apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    close() if (stack[-1][1] if stack else 0) != apart else None
+                apart, main, form = stack[-1][1:] if stack else (0, 0, 0)
             continue
         if tag in ENDS_ITSELF and stack and stack[-1][0] == tag:
             stack.pop()
-            apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            apart, main, form = stack[-1][1:] if stack else (0, 0, 0)
         own, begins = _signs(tag, m["more"] or "", main)
         if own and not apart and tag not in BLOCK:
             close()
         if begins and not main:
             mains += 1
             main = mains
-        apart = apart or own
-        stack.append((tag, apart, main))
+            # an article starts afresh in a wrapper that is set apart by its name; the page's main part in any that is shown
+            if apart == BY_NAME or apart == FIRMLY and tag != "article":
+                apart = 0
+        if tag == "form" and not form:
+            forms += 1
+            form = forms
+        apart = max(apart, own)
+        stack.append((tag, apart, main, form))
     close()
     return found
 
 
 def labels(page: list[Block]) -> list[bool]:
     """For each block, whether it is main text."""
-    first: list[bool | None] = []
+    stops = [sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in b.words) / len(b.words) if b.chars >= LONG_CHARS and not b.apart else 0 for b in page]
+    prose = [b.chars >= LONG_CHARS and not b.heading and s >= STOP_LOW and not b.apart and b.link_chars / b.chars <= LINKS_HIGH for b, s in zip(page, stops)]
+    # a form around the page's text isn't set apart: one of several paragraphs, or of all that there are
+    held = Counter(b.form for b, is_prose in zip(page, prose) if is_prose)
     for b in page:
-        links = b.link_chars / b.chars
-        stops = sum(w.lower().strip(".,;:!?\"'()") in STOP_WORDS for w in b.words) / len(b.words) if b.chars >= LONG_CHARS and not b.apart else 0
-        if b.apart or links > LINKS_HIGH:
-            first.append(False)
-        elif b.chars >= LONG_CHARS and not b.heading and stops >= STOP_LOW:
-            first.append(True)
-        else:
-            first.append(None)
+        b.apart |= bool(b.form) and held[b.form] < 2 and not (held[b.form] and len(held) == 1)
+    first = [False if b.apart or b.link_chars / b.chars > LINKS_HIGH else True if is_prose else None for b, is_prose in zip(page, prose)]
     out: list[bool] = []
     has_main = any(b.main for b in page)
     for i, b in enumerate(page):

@@ -83,6 +83,18 @@ def test_elements_that_are_left_out_end_where_they_end():
     assert main_text("<p>a" + "<video>" * 50_000 + "b") == "ab"
 
 
+def test_articles_in_wrappers_with_telling_names_stay():
+    long = "It is the text of a paragraph that is long and that has the words which are in all of the texts, so that it is decided by itself and by nothing else."
+    for wrapper in ('div class="layout has-sidebar"', 'div class="page-with-sidebar"', 'div id="no-nav"', 'div class="hasSidebar"', "form method=post", "form role=form"):
+        assert main_text(f"<body><{wrapper}><div><p>{long}</p></div></{wrapper.split()[0]}>") == long, wrapper
+    for begin in ("<article>", "<main>", "<div role=main>", "<div itemprop=articleBody>"):
+        assert main_text(f"<div class='sidebar-layout'>{begin}<p>{long}</p></div>") == long, begin
+    for names in ("related-work", "social-impact", "login-flow", "navigation"):
+        assert main_text(f"<article><h2 id={names}>Head</h2><p>{long}</p><section id={names}><p>{long}</p></section></article>") == f"Head\n{long}\n{long}"
+    for apart in (f"<form><p>{long}</p></form>", f"<aside><article><p>{long}</p></article></aside>", f"<div class=related><article><p>{long}</p></article></div>", f"<div hidden><main><p>{long}</p></main></div>", f"<div class=sidebar><p>{long}</p></div>"):
+        assert main_text(f"<div><p>{long}</p></div>{apart}") == long, apart
+
+
 def test_extraction_of_whole_tables(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "<p>é</p>")], "page_id long, url string, html string")
     found = extracted(df).collect()
