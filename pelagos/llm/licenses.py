@@ -7,9 +7,13 @@ among the known notices. After the matching guidelines of the SPDX licence list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagos.llm.common import unused
+
 # The public texts of licences, without their copyright lines, as in the SPDX licence list.
 _MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -68,29 +72,44 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES = ("‘’“”–— ", "''\"\"-- ")
 #: Lines that don't count: what begins them.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright |copyright$|\(c\) |© ?|all rights reserved)[^\n]*"
+#: What licences are found by: lines of a notice, not wrapped lines of the licence ("copyright notice ..."), and marks of lists.
+NOTICE_LINE = r"(^|\n)[ \t#*/]*(copyright(?![ \t]+(notice|holder|owner|statement|license|licence|law)s?([^a-z]|$))([ \t][^\n]*|$)|(\(c\)|© ?|all rights reserved)[^\n]*)"
+LIST_MARK = r"(^|\n)[ \t#*/]*([-*•]|\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Spellings that count as one, with single spaces between words.
 SPELLINGS = [(" licence", " license"), (" sub license", " sublicense"), (" non commercial", " noncommercial"), (" non infringement", " noninfringement"), (" copyright owner", " copyright holder"), (" acknowledgement", " acknowledgment"), (" merchantibility", " merchantability"), (" https ", " http ")]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: words with single spaces between; null as empty."""
-    out = F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES[0], LOWER + QUOTES[1])
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + QUOTES[0], LOWER + QUOTES[1])
+
+
+def _words(out: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(out, PUNCTUATION, " "), F.lit(" "))
     for spelling, one in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(one))
     return F.trim(out)
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form: words with single spaces between; null as empty."""
+    return _words(F.regexp_replace(_plain(text), COPYRIGHT_LINE, "$1"))
+
+
+def match_digest(text: Column) -> Column:
+    """The digest that licences are found by: as :func:`canonical`, but lines may be wrapped anywhere and list marks don't count."""
+    out = F.regexp_replace(_plain(text), NOTICE_LINE, "$1")
+    return F.md5(_words(F.regexp_replace(out, LIST_MARK, "$1")).cast("binary"))
+
+
 def digest(text: Column) -> Column:
     return F.md5(canonical(text).cast("binary"))
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+def known(spark: SparkSession, texts: list[tuple[str, str]], by: Callable[[Column], Column] = digest) -> DataFrame:
     """(license_id, digest) of known texts, once for each digest."""
     rows = spark.createDataFrame(texts, "license_id string, text string")
-    return rows.select("license_id", digest(F.col("text")).alias("digest")).dropDuplicates(["digest"])
+    return rows.select("license_id", by(F.col("text")).alias("digest")).dropDuplicates(["digest"])
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
@@ -101,15 +120,16 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tex
     empty one. The known texts are parameters, so the broadcast is of their number.
     """
     spark = docs.sparkSession
-    licences = F.broadcast(known(spark, texts).withColumnRenamed("digest", "text_digest"))
+    match = unused("_match", docs)
+    licences = F.broadcast(known(spark, texts, match_digest).withColumnRenamed("digest", match))
     # digests of lines are looked up in the row: it has them all, and nothing is shuffled
     named = {r["digest"]: r["license_id"] for r in known(spark, notices).collect()}
     table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.transform(F.split(text, "\n"), lambda line: table[digest(line)])
     ids = F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")
-    rows = docs.select(F.col(id_col).alias(id_col), digest(text).alias("text_digest"), ids.alias("notice_ids"))
-    return rows.join(licences, "text_digest", "left").select(id_col, "text_digest", "license_id", "notice_ids")
+    rows = docs.select(F.col(id_col).alias(id_col), digest(text).alias("text_digest"), match_digest(text).alias(match), ids.alias("notice_ids"))
+    return rows.join(licences, match, "left").select(id_col, "text_digest", "license_id", "notice_ids")
 
 
 def oracle_sql() -> str:

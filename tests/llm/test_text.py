@@ -112,6 +112,24 @@ def test_licences_and_notices(spark):
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
+def test_wrapped_licences_with_other_list_marks(spark):
+    import textwrap
+
+    rows, wanted = [], {}
+    for name, text in licenses.TEXTS:
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"):
+            for width in range(20, 90):
+                body = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+                for mark in ("{}. ", "* ", "- ", "({}) "):
+                    marked = re.sub(r"(?m)^(?:\* |[123]\. )", lambda m, n=iter("123"): mark.format(next(n)), body) if "BSD" in name else body
+                    wanted[len(rows)] = name
+                    rows.append((len(rows), "Copyright (c) 2024, Someone\nCopyright 2023 Other\nAll rights reserved.\n\n" + marked))
+                    if "BSD" not in name:
+                        break
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == wanted
+
+
 def slow_stats(text):
     w = WORD.findall(text)
     seen, lines = set(), 0
