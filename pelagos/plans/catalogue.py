@@ -208,6 +208,12 @@ def group_prod(p):
     return few[["p_brand", "v"]].groupby("p_brand").prod().to_spark(include_index=True)
 
 
+@query("group_prod_whole", "SELECT p_brand, round(product(1 + CAST(p_size AS DOUBLE) / 1000000), 6) AS v FROM part GROUP BY p_brand", "part")
+def group_prod_whole(p):
+    p["v"] = p["p_size"].apply("1 + CAST({self} AS DOUBLE) / 1000000", new_dtype="float64")
+    return _rounded(p[["p_brand", "v"]].groupby("p_brand").prod().to_spark(include_index=True), 6, "v")
+
+
 @query(
     "group_multi_key",
     "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_extendedprice), 2) AS l_extendedprice FROM lineitem WHERE l_quantity < 24 AND l_discount >= 0.05 GROUP BY 1, 2",
@@ -263,6 +269,45 @@ def join_hash(o, c):
     return one[["custkey", "price"]].merge(some[["custkey", "balance"]], on="custkey", algorithm="hash").to_spark(include_index=True).select("custkey", "price", "balance")
 
 
+# the same joins over whole tables: customers without orders, and a predicate on values, leave keys without a match
+
+_ALL = "SELECT o_custkey AS custkey, max(o_totalprice) AS price, min(o_orderkey) AS orderkey FROM orders GROUP BY 1"
+_OWING = "SELECT c_custkey AS custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_acctbal < 5000"
+
+
+def _whole_sides(o, c):
+    every = o.rename({"o_custkey": "custkey", "o_totalprice": "price", "o_orderkey": "orderkey"})
+    one = every[["custkey", "price"]].groupby("custkey").max().merge(every[["custkey", "orderkey"]].groupby("custkey").min(), on="custkey").reset_index()
+    owing = c[c["c_acctbal"] < 5000.0].rename({"c_custkey": "custkey", "c_acctbal": "balance", "c_mktsegment": "segment"})
+    return one[["custkey", "price", "orderkey"]], owing[["custkey", "balance", "segment"]]
+
+
+for _how in ("inner", "left", "right", "outer"):
+
+    @query(
+        f"join_{_how}_whole",
+        f"""SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(price, -999) AS price, coalesce(orderkey, -999) AS orderkey, coalesce(balance, -999) AS balance, coalesce(segment, 'None') AS segment
+FROM ({_ALL}) a {'FULL' if _how == 'outer' else _how.upper()} JOIN ({_OWING}) b ON a.custkey = b.custkey""",
+        "orders",
+        "customer",
+    )
+    def _join_whole(o, c, how=_how):
+        one, owing = _whole_sides(o, c)
+        return one.merge(owing, how=how, on="custkey").to_spark(include_index=True).select("custkey", "price", "orderkey", "balance", "segment")
+
+
+@query("join_hash_whole", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
+def join_hash_whole(o, c):
+    one, owing = _whole_sides(o, c)
+    return one[["custkey", "price"]].merge(owing[["custkey", "balance"]], on="custkey", algorithm="hash").to_spark(include_index=True).select("custkey", "price", "balance")
+
+
+@query("join_on_index_whole", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
+def join_on_index_whole(o, c):
+    one, owing = _whole_sides(o, c)
+    return one.set_index("custkey").merge(owing.set_index("custkey")).to_spark(include_index=True).select("custkey", "price", "balance")
+
+
 @query(
     "join_multi_key",
     """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_tax) AS t FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2)
@@ -351,6 +396,12 @@ def sort_single_stable(p):
     return p.sort_values("p_partkey").sort_values("p_size")[["p_partkey", "p_size"]].head(50).to_spark()
 
 
+@query("sort_single_stable_whole", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS place FROM part", "part")
+def sort_single_stable_whole(p):
+    frame = p.sort_values("p_partkey").sort_values("p_size")[["p_partkey", "p_size"]].reset_index().drop("index")
+    return frame.to_spark(include_index=True).withColumnRenamed("index", "place")
+
+
 @query("head", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7", "orders")
 def head(o):
     return o.sort_values("o_orderkey")[["o_orderkey"]].head(7).to_spark()
