@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Keys that more rows have than one in so many are met by a broadcast: there are fewer than so many of them.
+HOT_KEYS = 4096
+
 _own: dict[str, str] = {}
 
 
@@ -77,6 +80,26 @@ def ranked(df: DataFrame, *keys: str, name: str = "ranked", into: str = "rank")
     return table.withColumn("_part", part).join(F.broadcast(bases), "_part").select(*df.columns, place)
 
 
+def joined_by_copies(rows: DataFrame, index: DataFrame, key: str, of: str, copies: str, total: int) -> DataFrame:
+    """``rows`` joined with a saved table that has each ``key`` once, as ``of``, and the number of its rows, ``copies``.
+
+    Keys with more than one in ``HOT_KEYS`` of the ``total`` rows are met by a broadcast, which so has fewer than
+    ``HOT_KEYS`` rows; no other key has enough rows to burden a task. Null keys meet null keys; ``of`` is dropped.
+    """
+    most = max(1, -(-total // HOT_KEYS))
+    hot, cold = F.broadcast(index.where(F.col(copies) > most)), index.where(F.col(copies) <= most)
+    same = F.col(key).eqNullSafe(F.col(of))
+    left = rows.join(hot.select(of), same, "left_anti")
+    return rows.join(hot, same).drop(of).unionByName(left.join(cold, same).drop(of))
+
+
+def one_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ``df`` for each value of ``keys``: that whose columns, written as JSON, come first. Nulls are a value."""
+    every = F.struct(*own_columns(df))
+    first = df.groupBy(*["`" + k.replace("`", "``") + "`" for k in keys]).agg(F.min_by(every, F.to_json(every)).alias("_first"))
+    return first.select("_first.*")
+
+
 def text_bytes(column: str):
     """A text column as its UTF-8 bytes; null is empty. The cast copies nothing."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

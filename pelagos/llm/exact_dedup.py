@@ -1,30 +1,38 @@
 """Exact duplicates through a cuckoo-filter index of live digests.
 
-Each shard of the index has a cuckoo filter (Fan et al., "Cuckoo Filter: Practically Better Than Bloom", CoNEXT 2014) in
-front of buckets that hold the stored keys: digest, text length, id of the row that stays, number of live copies. A
-probe that misses the filter is new; one that hits is verified against the keys of its bucket, so a false positive can
-never drop a text. Deleting a digest's last copy takes its tag out of the filter. When an insertion finds no place, the
-filter is doubled and refilled from the stored keys.
+An index has a cuckoo filter (Fan et al., "Cuckoo Filter: Practically Better Than Bloom", CoNEXT 2014) in front of buckets
+that hold what the live texts are known by: SHA-256 and length, with the id of the row that stays and the number of live
+copies. A probe that misses the filter is new; one that hits is verified against the content of its bucket, so a false
+positive can never drop a text. Deleting a text's last copy takes its tag out of the filter. When an insertion finds no
+place, the filter is doubled and refilled from the stored keys.
+
+Every row goes through two of them. The first is that of its task: copies that a task has are met there, and as it keeps
+``TASK_KEYS`` entries at most, the oldest are deleted from it and handed on. The second is that of the digest's shard, which
+meets what the tasks hand on; a text with a third of all rows is a few entries of each task by then.
 """
 
 from __future__ import annotations
 
 import random
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import saved, unused
+from pelagos.llm.common import joined_by_copies, one_of, saved, unused
 
-#: Keys a shard of the index should hold; the number of shards follows the number of digests.
+#: Keys a shard of the index should hold; the number of shards follows the number of rows.
 SHARD_KEYS = 500_000
+#: Entries that a task's own index holds at most.
+TASK_KEYS = 50_000
 
 
 class CuckooIndex:
-    """Live digests with their entries. Digests are at least 16 bytes and evenly spread, as those of a cryptographic hash are.
+    """Live keys with their entries. A key is a digest, then anything else that it must agree in. Digests are at least 16 bytes and
+    evenly spread, as those of a cryptographic hash are.
 
     A digest's first eight bytes pick its home bucket and bytes 8 and 9 are its tag; the other bucket of a tag is the home
     XOR a spread of the tag, which leads from either to the other.
@@ -35,7 +43,7 @@ class CuckooIndex:
     def __init__(self, buckets: int = 1 << 10, seed: int = 0) -> None:
         self.mask = (1 << max(1, (buckets - 1).bit_length())) - 1
         self.random = random.Random(seed)
-        self.resized = self.false_hits = 0
+        self.resized = self.false_hits = self.hits = 0
         self._clear()
 
     def _clear(self) -> None:
@@ -95,6 +103,7 @@ class CuckooIndex:
             return None
         entry = (self.keys[home] or {}).get(digest)
         self.false_hits += entry is None
+        self.hits += entry is not None
         return entry
 
     def insert(self, digest: bytes, entry: list) -> None:
@@ -133,11 +142,9 @@ def normalised(text_col: str = "text"):
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, row): a saved table with a number for each row; equal texts have equal digests."""
-    return saved(docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
-
-
-_ENTRY = "digest string, keep_id {id}, keep_row long, copies long"
+    """(id, digest, size, row): a saved table with a number for each row; equal texts have equal digests and sizes in bytes."""
+    text = normalised(text_col).cast("binary")
+    return saved(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")), "digests")
 
 
 def _first(entry: list) -> tuple:
@@ -145,51 +152,88 @@ def _first(entry: list) -> tuple:
     return (1, entry[1]) if entry[0] is None else (0, entry[0], entry[1])
 
 
+def _meet(index: CuckooIndex, key: bytes, who, row: int | None, n: int) -> bool:
+    """Counts ``n`` copies in, or out if below 0; whether the key is a new one."""
+    entry = index.find(key)
+    if entry is None:
+        if n > 0:
+            index.insert(key, [who, row, n])
+        return n > 0
+    entry[2] += n
+    if n > 0:
+        entry[:2] = min([who, row], entry[:2], key=_first)
+    elif entry[2] <= 0:
+        index.delete(key)
+    return False
+
+
+def _entries(found: list[tuple[bytes, list]], schema: pa.Schema) -> pa.RecordBatch:
+    columns = [[k[:32] for k, _ in found], [int.from_bytes(k[32:], "little") for k, _ in found], *([e[i] for _, e in found] for i in range(3))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _task(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs rows (digest, size, id, row) through an index of at most ``most`` keys: what it holds, oldest first, as it must go."""
+    index, order = CuckooIndex(), deque()
+    out: list[tuple[bytes, list]] = []
+    for batch in batches:
+        for digest, size, who, row in zip(*(c.to_pylist() for c in batch.columns)):
+            key = digest + size.to_bytes(8, "little")
+            if _meet(index, key, who, row, 1):
+                order.append(key)
+                if index.size > most:
+                    old = order.popleft()
+                    out.append((old, index.find(old)))
+                    index.delete(old)
+        if len(out) >= 10_000:
+            yield _entries(out, schema)
+            out = []
+    held = iter([*out, *index.items()])
+    while part := [x for _, x in zip(range(50_000), held)]:
+        yield _entries(part, schema)
+
+
 def _shard(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Runs the rows (digest, id, row, n; n < 0 deletes) of a shard through its index; gives the live entries."""
+    """Runs the rows (digest, size, id, row, n; n < 0 deletes) of a shard through its index; gives the live entries."""
     index = CuckooIndex()
     for batch in batches:
-        for digest, who, row, n in zip(*(c.to_pylist() for c in batch.columns)):
-            key = bytes.fromhex(digest)
-            entry = index.find(key)
-            if entry is None:
-                if n > 0:
-                    index.insert(key, [who, row, n])
-            elif n > 0:
-                entry[2] += n
-                entry[:2] = min([who, row], entry[:2], key=_first)
-            else:
-                entry[2] += n
-                if entry[2] <= 0:
-                    index.delete(key)
-    held = iter(index.items())
+        for digest, size, who, row, n in zip(*(c.to_pylist() for c in batch.columns)):
+            _meet(index, digest + size.to_bytes(8, "little"), who, row, n)
+    held = index.items()
     while part := [x for _, x in zip(range(50_000), held)]:
-        columns = [[k.hex() for k, _ in part], *([e[i] for _, e in part] for i in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        yield _entries(part, schema)
 
 
-def live_index(keys: DataFrame, deleted: DataFrame | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """(digest, keep_id, keep_row, copies) of all live digests of a saved table (id, digest, row).
+def live_index(keys: DataFrame, deleted: DataFrame | None = None, shard_keys: int = SHARD_KEYS, task_keys: int = TASK_KEYS) -> DataFrame:
+    """(digest, size, keep_id, keep_row, copies) of all live texts of a saved table (id, digest, size, row).
 
-    ``keep_id`` is the least id of the digest (null only if all are) and ``keep_row`` its row. Copies are counted within
-    each task before they are dealt to the index's shards, so a text with a third of all rows is a few rows there.
-    ``deleted``: (digest) of copies to take out, once for each row; a digest without live copies leaves the index.
-    Deletions count copies and don't move ``keep_id``: to retire the row that stays, give the rows that remain.
+    ``keep_id`` is the least id of the text (null only if all are) and ``keep_row`` its row. ``deleted``: (digest, size) of
+    copies to take out, once for each row; a text without live copies leaves the index. Deletions count copies and don't move
+    ``keep_id``: to retire the row that stays, give the rows that remain.
     """
     spark = keys.sparkSession
     who = keys.schema["id"].dataType.simpleString()
-    first = F.min_by(F.struct("id", "row"), F.struct(F.col("id").isNull(), "id", "row"))
-    rows = keys.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select("digest", F.col("f.id").alias("id"), F.col("f.row").alias("row"), "n", F.lit(0).alias("step"))
-    if deleted is not None:
-        gone = deleted.groupBy("digest").agg((-F.count(F.lit(1))).alias("n"))
-        rows = rows.unionByName(gone.select("digest", F.lit(None).cast(who).alias("id"), F.lit(None).cast("long").alias("row"), "n", F.lit(1).alias("step")))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // shard_keys))
     ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(who)
     if ids is None:
         raise TypeError(f"ids of type {who}; cast them to long or string")
-    schema = pa.schema([("digest", pa.string()), ("keep_id", ids), ("keep_row", pa.int64()), ("copies", pa.int64())])
-    dealt = rows.repartition(shards, "digest").sortWithinPartitions("step", "id").select("digest", "id", "row", "n")
-    return dealt.mapInArrow(lambda batches: _shard(batches, schema), _ENTRY.format(id=who))
+    schema = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("keep_id", ids), ("keep_row", pa.int64()), ("copies", pa.int64())])
+    table = f"digest binary, size long, keep_id {who}, keep_row long, copies long"
+    rows = keys.select("digest", "size", "id", "row").mapInArrow(lambda batches: _task(batches, schema, task_keys), table)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // shard_keys))
+    if deleted is not None:
+        gone = deleted.groupBy("digest", "size").agg((-F.count(F.lit(1))).alias("copies"))
+        gone = gone.select("digest", "size", F.lit(None).cast(who).alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "copies")
+        rows = rows.withColumn("step", F.lit(0)).unionByName(gone.withColumn("step", F.lit(1)))
+    dealt = rows.repartition(shards, "digest")
+    if deleted is not None:
+        dealt = dealt.sortWithinPartitions("step").drop("step")
+    return dealt.mapInArrow(lambda batches: _shard(batches, schema), table)
+
+
+def _named(keys: DataFrame, live: DataFrame) -> DataFrame:
+    """The rows of ``keys`` with what the index says of their text. ``live``: a saved table."""
+    told = live.select(F.col("digest").alias("of"), "keep_id", "keep_row", "copies")
+    return joined_by_copies(keys, told, "digest", "of", "copies", keys.count()).withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,27 +243,28 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty. An empty table gives an empty one; other columns of ``docs`` are not read.
     """
     keys = digests(docs, id_col, text_col)
-    index = live_index(keys)
-    return keys.join(index, "digest").select(
-        F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
+    found = _named(keys, saved(live_index(keys), "live"))
+    return found.select(F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of equal texts that with the least id, a null id last."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts that with the least id, a null id last.
+
+    A null text is empty. Of rows that repeat the id that stays with its text, the one whose columns, written as JSON, come
+    first stays. An empty table gives an empty one; columns of any names are kept.
+    """
     keys = digests(docs, id_col, text_col)
-    index = saved(live_index(keys), "live")
-    found = keys.join(index, "digest").select("digest", "id", (F.col("row") == F.col("keep_row")).alias("kept"), "keep_id")
-    # rows that go, by id and digest; a row repeated with the id that stays goes by dropDuplicates below. Their number grows with
+    found = _named(keys, saved(live_index(keys), "live"))
+    # rows that go, by id and digest; a row repeated with the id that stays is dealt with below. Their number grows with
     # the corpus, so they are met by a merge join at every size and never broadcast
     gone = saved(found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "gone")
     again = saved(found.where("not kept").where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest").distinct(), "again")
     own = unused("_digest", docs)
-    tagged = docs.withColumn(own, text_digest(text_col))
+    tagged = docs.withColumn(own, F.unhex(text_digest(text_col)))
     same = lambda other: tagged[id_col].eqNullSafe(other["id"]) & (tagged[own] == other["digest"])
     if again.isEmpty():
         return tagged.join(gone.hint("merge"), same(gone), "left_anti").drop(own)
     out = gone.unionByName(again).hint("merge")
     single = tagged.join(out, same(out), "left_anti")
-    repeated = tagged.join(again.hint("merge"), same(again), "left_semi").dropDuplicates([id_col, own])
+    repeated = one_of(tagged.join(again.hint("merge"), same(again), "left_semi"), [id_col, own])
     return single.unionByName(repeated).drop(own)

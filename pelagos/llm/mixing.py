@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import WORD, ranked, saved, unused
+from pelagos.llm.common import WORD, joined_by_copies, one_of, ranked, saved, unused
 
 UNIT = 1 << 24
 
@@ -72,12 +72,12 @@ def mixed(
     carried = [c for c in sized.columns if c not in ("id", "source", "size")]
     placed = ranked(order, "last", "source", "falling", "id", *carried, name="mix")
     # where each source starts: a minimum for each source, combined in each task first
-    starts = placed.groupBy("source").agg(F.min("rank").alias("start"))
-    plan = saved(named.join(starts, named.source.eqNullSafe(starts.source)).select(named.source.alias("of"), "source_size", "target", "start"), "plan")
+    starts = placed.groupBy("source").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("rows"))
+    plan = saved(named.join(starts, named.source.eqNullSafe(starts.source)).select(named.source.alias("of"), "source_size", "target", "start", "rows"), "plan")
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("long")
     at = F.col("rank") - F.col("start")
     passed = lambda k: F.shiftright(offset("of", seed) + k * rate, 24)
-    joined = placed.join(plan, placed.source.eqNullSafe(plan.of))
+    joined = joined_by_copies(placed, plan.withColumn("key", F.col("of")), "source", "key", "rows", sized.count())
     copies = (passed(at + 1) - passed(at)).alias("copies")
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies, *carried)
 
@@ -85,7 +85,8 @@ def mixed(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns.
 
-    Rows with the same id, source and text are interchangeable: one of them is emitted as often as all are taken.
+    Of rows with the same id, source and text, that whose columns, written as JSON, come first is emitted as often as all are
+    taken. Null texts have no words and are never taken; an empty table gives an empty one; columns of any names are kept.
     """
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own")
     taken = mixed(docs, id_col, text_col, source_col, weights, share, most, seed, (own, F.col(source_col).alias("_source")))
@@ -107,5 +108,6 @@ def _emitted(docs: DataFrame, grouped: DataFrame, own, id_col: str, source_col:
     if again.isEmpty():
         return single
     # repeated rows are as many as their copies together: one of them is emitted for all
-    first = tagged.join(again, on).drop(grouped["_id"], grouped["_source"], grouped["_own"], grouped["_rows"]).dropDuplicates([id_col, source_col, mark])
+    first = tagged.join(again, on).drop(grouped["_id"], grouped["_source"], grouped["_own"], grouped["_rows"])
+    first = one_of(first, [id_col, source_col, mark])
     return single.unionByName(times(first))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import fresh_path, saved, text_bytes
+from pelagos.llm.common import fresh_path, joined_by_copies, saved, text_bytes
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = b"\r\n\r\n"
@@ -121,7 +121,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     seen = saved(pages.select(F.col(id_col).alias("id"), F.sha1(data).alias("digest"), F.octet_length(data).alias("n")), "payloads")
     # counts are combined before they are shuffled: a payload with a third of all rows is one row for each task
     first = seen.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null")
-    again = saved(seen.join(first, "digest").where("not id <=> first").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").cast("string").alias("_first")).distinct(), "revisits")
+    first = saved(first.withColumnRenamed("digest", "of"), "first")
+    again = joined_by_copies(seen, first, "digest", "of", "copies", seen.count()).where("not id <=> first")
+    again = saved(again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").cast("string").alias("_first")).distinct(), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
