@@ -173,14 +173,15 @@ def _best(x: np.ndarray, y: np.ndarray) -> tuple[float, Condition | None]:
     return best
 
 
-def learn(stats: np.ndarray, good: np.ndarray, precision: float = 0.7, least: int = 5, most_rules: int = 16, seed: int = 1) -> RuleList:
-    """A list that rejects what isn't ``good``. ``stats``: rows of STATS.
+def learn(stats: np.ndarray, good: np.ndarray, part: np.ndarray, precision: float = 0.7, least: int = 5, most_rules: int = 16) -> RuleList:
+    """A list that rejects what isn't ``good``. ``stats``: rows of STATS; ``part``: those that rules are grown on, the others prune.
 
     A rule is taken if, on the rows kept for pruning, at least ``precision`` of what it covers is to be rejected, and if it
-    covers at least ``least`` such rows in all. Without both kinds of rows there are no rules and everything is kept.
+    covers at least ``least`` such rows in all. Without both kinds of rows there are no rules and everything is kept. The order
+    of the rows doesn't matter: thresholds lie between different values, and the first of equal gains is taken by feature.
     """
     x, y = _features(np.asarray(stats, np.int64).reshape(-1, len(STATS))), ~np.asarray(good, bool)
-    part = np.random.default_rng(seed).random(len(y)) < 2 / 3
+    part = np.asarray(part, bool)
     rules: list[tuple[Condition, ...]] = []
     left = np.ones(len(y), bool)
     while len(rules) < most_rules and (y & left).sum() >= least:
@@ -216,12 +217,19 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleList:
-    """Rules from at most ``sample_rows`` labelled documents that don't fail the base rules. Rows without a label don't count."""
-    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).alias("_good"))
-    sample = F.broadcast(named.orderBy(F.xxhash64("_id"), "_id", "_good").limit(sample_rows))  # bounded by sample_rows
-    rows = with_stats(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id"), "_t", ["_good"])
-    found = rows.where(~base_failed()).toArrow()  # repeated documents aside, sample_rows rows of numbers at most
-    return learn(np.stack([found.column(s).to_numpy() for s in STATS], axis=1), found.column("_good").to_numpy())
+    """Rules from at most ``sample_rows`` labelled documents that don't fail the base rules; the same for any order of the rows.
+
+    Rows without a label or an id don't count. An id that is labelled more than once is good if all its labels are; of
+    documents that repeat an id, that with the least statistics is learned from. Two thirds of the ids, by a hash, grow rules
+    and the others prune.
+    """
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col) != 0).alias("_good"))
+    sample = F.broadcast(named.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))  # bounded by sample_rows
+    rows = with_stats(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(sample, "_id"), "_t", ["_id", "_good"])
+    once = rows.where(~base_failed()).groupBy("_id", "_good").agg(F.min(F.struct(*STATS)).alias("s"))
+    grows = F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(3)) != 0
+    found = once.select("s.*", "_good", grows.alias("grows")).toArrow()  # one row for each id: sample_rows at most
+    return learn(np.stack([found.column(s).to_numpy() for s in STATS], axis=1), found.column("_good").to_numpy(), found.column("grows").to_numpy())
 
 
 def judged(docs: DataFrame, rules: RuleList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +239,10 @@ def judged(docs: DataFrame, rules: RuleList, id_col: str = "doc_id", text_col: s
 
 
 def drop_rejected(docs: DataFrame, rules: RuleList, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the learned ones, with all their columns."""
+    """The rows of ``docs`` that pass the base rules and the learned ones, with all their columns, whatever their names.
+
+    A null text is empty and fails the base rules; repeated rows stay or go together; an empty table gives an empty one.
+    """
     prefix = "_quality_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
