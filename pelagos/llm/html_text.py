@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import text_bytes
+from pelagos.llm.common import text_bytes, unused
 
 LONG_CHARS, STOP_LOW, LINKS_HIGH = 140, 0.12, 0.5
 
@@ -52,14 +52,14 @@ APART_NAMES = frozenset(
 HEADER_NAMES = frozenset("header topbar".split())
 #: What of these names holds an article is a list of other ones.
 TEASER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion related recommended recommendations widget widgets".split())
-#: In a name, these say what a part has or lacks, not what it is: has-sidebar, no-nav.
-NO_SIGNS = frozenset("has with without no".split())
+#: In a name, these say what a part has or lacks or how it is switched, not what it is: has-sidebar, no-nav, related-on.
+NO_SIGNS = frozenset("has with without no on off enabled disabled open closed".split())
 #: How firmly a part is set apart: by names that an article's wrapper may have, by others, or as it isn't shown.
 BY_NAME, FIRMLY, HIDDEN = 1, 2, 3
 COMMENT_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 _NODE = re.compile(
-    rf"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>)"
+    rf"(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z))"
     rf"|<(?P<embedded>{EMBEDDED})(?=[\s/>])(?P<inside>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -117,6 +117,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, int, int, int]] = []  # open containers: tag, apart, numbers of the main part and the form it is in
     apart, main, mains, form, forms, link, heading = 0, 0, 0, 0, 0, 0, False
+    open_tags: Counter = Counter()
     parts: list[str] = []
     link_chars = 0
 
@@ -164,15 +165,18 @@ def blocks(html: str) -> list[Block]:
         if tag not in CONTAINER or tag in VOID:
             continue
         if ends:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_tags[tag]:
+                while True:
+                    ended = stack.pop()[0]
+                    open_tags[ended] -= 1
+                    if ended == tag:
+                        break
                 if tag not in BLOCK:
                     close() if (stack[-1][1] if stack else 0) != apart else None
                 apart, main, form = stack[-1][1:] if stack else (0, 0, 0)
             continue
         if tag in ENDS_ITSELF and stack and stack[-1][0] == tag:
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
             apart, main, form = stack[-1][1:] if stack else (0, 0, 0)
         own, begins = _signs(tag, m["more"] or "", main)
         if own and not apart and tag not in BLOCK:
@@ -188,6 +192,7 @@ def blocks(html: str) -> list[Block]:
             form = forms
         apart = max(apart, own)
         stack.append((tag, apart, main, form))
+        open_tags[tag] += 1
     close()
     return found
 
@@ -201,34 +206,35 @@ def labels(page: list[Block]) -> list[bool]:
     for b in page:
         b.apart |= bool(b.form) and held[b.form] < 2 and not (held[b.form] and len(held) == 1)
     first = [False if b.apart or b.link_chars / b.chars > LINKS_HIGH else True if is_prose else None for b, is_prose in zip(page, prose)]
-    out: list[bool] = []
     has_main = any(b.main for b in page)
-    for i, b in enumerate(page):
-        label = first[i]
+    out: list[bool] = []
+    for b, label, before, after in zip(page, first, _decided(page, first), reversed(list(_decided(page[::-1], first[::-1])))):
         if label is None:
-            label = _neighbours(page, first, i)
+            label = _neighbour(b, before, after)
             if label is None:  # nothing near it is decided
                 label = bool(b.main) or not has_main
         out.append(label)
     return out
 
 
-def _neighbours(page: list[Block], first: list[bool | None], i: int) -> bool | None:
-    """The label of the nearest decided block in the same part of the page. A heading goes with what follows it; what
-    stands between two different labels at the same distance is text. What is set apart by its container says nothing about
-    what is outside it."""
-    b = page[i]
-
-    def side(step: int) -> tuple[int, bool] | None:
-        j, far = i + step, 0
-        while 0 <= j < len(page) and page[j].main == b.main:
-            if first[j] is not None and not page[j].apart:
-                return far, first[j]
-            far += page[j].chars
-            j += step
-        return None
-
-    before, after = side(-1), side(1)
+def _decided(page: list[Block], first: list[bool | None]) -> Iterator[tuple[int, bool] | None]:
+    """For each block, the nearest decided one before it in the same part of the page: (characters between, label). What is
+    set apart by its container says nothing about what is outside it."""
+    near: tuple[int, bool] | None = None
+    part = None
+    for b, label in zip(page, first):
+        if b.main != part:
+            near, part = None, b.main
+        yield near
+        if label is not None and not b.apart:
+            near = 0, label
+        elif near is not None:
+            near = near[0] + b.chars, near[1]
+
+
+def _neighbour(b: Block, before: tuple[int, bool] | None, after: tuple[int, bool] | None) -> bool | None:
+    """The label of the nearest decided neighbour. A heading goes with what follows it; what stands between two different
+    labels at the same distance is text."""
     if b.heading and after:
         return after[1]
     if before and after:
@@ -243,13 +249,20 @@ def main_text(html: str) -> str:
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """(*keep, text, n_chars) for every row of ``pages``. Null or empty html gives an empty text; an empty table an empty one."""
+    """(*keep, text, n_chars) for every row of ``pages``, repeated rows included, in linear time for pages of any length.
+
+    Null or empty html gives an empty text; an empty table an empty one. Kept columns must not be named ``text`` or
+    ``n_chars`` (in any case): they are refused. Other columns are not read.
+    """
+    if clash := [c for c in keep if c.lower() in ("text", "n_chars")]:
+        raise ValueError(f"the result has columns of its own named {clash}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py().decode("utf-8", "replace")) for h in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
 
-    rows = pages.select(text_bytes(html_col).alias("_html"), *keep)
-    schema = rows.drop("_html").withColumn("text", F.lit("")).schema
+    html = unused("_html", pages)
+    rows = pages.select(text_bytes(html_col).alias(html), *keep)
+    schema = rows.drop(html).withColumn("text", F.lit("")).schema
     return rows.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
