@@ -63,7 +63,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pelagos.llm.toxicity import scored
 
-    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_evidence=False)
+    found = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

@@ -1,39 +1,31 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-The terms are those that labelled texts associate with label 1 (by chi-squared and by ratio): a toxic text is toxic by a
-few of its words, and the cosine over all of them would compare its subject. A cosine doesn't see how much of a text its terms
-are, so that is among them, as two signs: the number of different terms, and how many words of the text come on one of
-theirs. Inverse document frequencies, those of the signs too, are over all documents. The index has the examples' postings in blocks of consecutive examples with the greatest weight of each term
-in each block (Ding and Suel, "Faster Top-k Document Retrieval Using Block-Max Indexes", SIGIR 2011): blocks are visited by
-falling bound until none can hold a nearer example, so the k nearest are exact. Votes weigh by cosine and are calibrated
-on the examples themselves, each scored without itself.
+The terms are all words of the labelled examples. A term's weight is that of TF-IDF, the inverse document frequency over all
+documents, times how firmly the labels associate it with label 1 (the root of chi-squared, as in Debole and Sebastiani,
+"Supervised Term Weighting for Automated Text Categorization", SAC 2003): a text is toxic by a few of its words, and the
+cosine by TF-IDF alone compares the texts' subjects. No term is left out: all others keep a share of their weight, and texts
+without any that is associated are compared by TF-IDF alone. The index has the examples' postings in blocks with the greatest weight of
+each term in each block (Ding and Suel, "Faster Top-k Document Retrieval Using Block-Max Indexes", SIGIR 2011): the blocks with
+the highest bounds are scored, then all others that could hold a nearer example, so the k nearest are exact. Votes weigh by
+cosine and are calibrated on the examples themselves, each scored without itself.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
-from pelagos.llm.common import saved, text_bytes
+from pelagos.llm.common import text_bytes
 
 #: Most labelled rows that are learned from: those with the least hash of their id. It bounds the index, too.
-SAMPLE_ROWS = 20_000
-#: Most terms that are chosen, by chi-squared.
-MOST_TERMS = 5_000
-#: Chi-squared of 30 comes about by chance once in 2 * 10**7 terms.
-CHI_SQUARED, RATIO, LEAST_DOCS = 30.0, 3.0, 5
+SAMPLE_ROWS = 4_000
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
-#: Most examples that the calibration is fitted on: evenly spaced among those of the sample.
-CALIBRATE_ROWS = 1_500
-
-#: The signs' numbers follow those of the terms: first by the number of different terms, then by the words for each.
-COUNT_SIGNS, SHARE_SIGNS, SIGN_WEIGHT = 6, 16, 2.0
+#: What a term weighs, times TF-IDF, besides its association with label 1.
+REST = 0.3
 
 # lower-cases A-Z and turns all ASCII that is no letter or digit into spaces
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,62 +40,69 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def signs(different: int, found: int, words: int, n_terms: int) -> list[int]:
-    """The two signs of a text with some of the ``n_terms`` terms."""
-    share = min(SHARE_SIGNS - 1, (words // found).bit_length())
-    return [n_terms + min(different, COUNT_SIGNS) - 1, n_terms + COUNT_SIGNS + share]
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of ``length[0]`` numbers, then those of first[1], and so on."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors. ``rows``: for each example its (term, weight) pairs; ``labels``: 0 or 1."""
+    """Examples as unit vectors. ``rows``: for each example its (term, weight) pairs; ``labels``: 0 or 1.
+
+    Examples are put into blocks by their heaviest term, so that bounds tell blocks apart.
+    """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int) -> None:
         self.labels = np.asarray(labels, float)
         n = len(rows)
+        heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in rows], np.int64)
+        self.number = np.argsort(heaviest, kind="stable")  # of the example at each place
+        self.place = np.argsort(self.number)
         term = np.concatenate([t for t, _ in rows]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if n else np.zeros(0)
-        example = np.repeat(np.arange(n), [len(t) for t, _ in rows]) if n else np.zeros(0, np.int64)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.block, self.blocks = self.example // BLOCK, -(-n // BLOCK)
-        # the greatest weight of a term in each block that has it, term by term
-        key = term[order] * max(self.blocks, 1) + self.block
-        pair, at = np.unique(key, return_index=True)
-        self.greatest = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0)
-        self.pair_block = pair % max(self.blocks, 1)
-        self.pair_starts = np.searchsorted(pair, np.arange(n_terms + 1) * max(self.blocks, 1))
+        at = np.repeat(self.place, [len(t) for t, _ in rows]) if n else np.zeros(0, np.int64)
+        order = np.lexsort((at, term))
+        self.at, self.weight = at[order].astype(np.int32), weight[order]
+        self.blocks = -(-n // BLOCK)
+        # a list is a term's postings in a block
+        key = term[order] * max(self.blocks, 1) + self.at // BLOCK
+        lists, self.first = np.unique(key, return_index=True)
+        self.length = np.diff(np.append(self.first, len(key)))
+        self.greatest = np.maximum.reduceat(self.weight, self.first) if len(lists) else np.zeros(0)
+        self.block = lists % max(self.blocks, 1)
+        self.starts = np.searchsorted(lists, np.arange(n_terms + 1) * max(self.blocks, 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the ``k`` nearest with a cosine above 0, falling; ties by example. ``without``: not this one.
+        """(examples, cosines) of the ``k`` nearest with a cosine above 0, falling; ties by place. ``without``: not this one.
 
         The blocks with the highest bounds are scored first, then all others whose bound reaches the k-th cosine so far.
         """
-        bound, scores = np.zeros(self.blocks), np.zeros(len(self.labels))
-        for t, w in zip(term, weight):
-            a, b = self.pair_starts[t], self.pair_starts[t + 1]
-            bound[self.pair_block[a:b]] += w * self.greatest[a:b]
+        n = self.starts[term + 1] - self.starts[term]
+        lists, query = _ranges(self.starts[term], n), np.repeat(weight, n)
+        of = self.block[lists]
+        bound = np.bincount(of, query * self.greatest[lists], minlength=self.blocks)
+        scores = np.zeros(len(self.labels))
 
         def add(blocks: np.ndarray) -> float:
             """Scores the examples of blocks; the k-th best cosine of all so far."""
             chosen = np.zeros(self.blocks, bool)
             chosen[blocks] = True
-            for t, w in zip(term, weight):
-                a, b = self.starts[t], self.starts[t + 1]
-                there = chosen[self.block[a:b]]
-                scores[self.example[a:b][there]] += w * self.weight[a:b][there]  # an example is in a list once
+            there = chosen[of]
+            few = lists[there]
+            postings = _ranges(self.first[few], self.length[few])
+            scores[:] += np.bincount(self.at[postings], np.repeat(query[there], self.length[few]) * self.weight[postings], minlength=len(scores))
             if without >= 0:
-                scores[without] = 0
+                scores[self.place[without]] = 0
             return float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
 
         order = np.argsort(-bound, kind="stable")
         kth, rest = add(order[:FIRST_BLOCKS]), order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-12)]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth * (1 - 1e-9))]
         if len(rest):
             kth = add(rest)
         found = np.nonzero((scores > 0) & (scores >= kth))[0]
         top = found[np.lexsort((found, -scores[found]))[:k]]
-        return top, scores[top]
+        return self.number[top], scores[top]
 
     def vote(self, near: tuple[np.ndarray, np.ndarray], prior: float) -> float:
         """The share of label 1 by cosine, with one pseudo-neighbour of cosine 0.1 that has the prior."""
@@ -123,122 +122,140 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[2] for p in pools]), np.array([p[0] for p in pools])
 
 
+def factors(with_label: np.ndarray, without: np.ndarray, n1: int, n0: int, idf: np.ndarray) -> np.ndarray:
+    """A term's weight in a text that has it once. The arrays: examples of either label that have the term."""
+    a, b, n = with_label.astype(float), without.astype(float), n1 + n0
+    if not n1 or not n0:
+        return idf.astype(float)
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * np.maximum(a + b, 1) * np.maximum(n - a - b, 1))
+    return idf * (REST + np.where(a * n0 > b * n1, np.sqrt(chi), 0.0))
+
+
 class Scorer:
-    """What the executors need: terms, inverse document frequencies, the index, and the calibration."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[list[int], list[int], int]], k: int = NEIGHBOURS) -> None:
-        self.k = k
-        self.idf = idf * np.where(np.arange(len(idf)) < len(idf) - COUNT_SIGNS - SHARE_SIGNS, 1.0, SIGN_WEIGHT)
-        own = [(*self.vector(t, n), y) for t, n, y in examples]
-        known = [r for r in own if len(r[0])]
-        bare = [y for t, _, y in own if not len(t)]
-        self.prior = float(np.mean([y for *_, y in own])) if own else 0.5
+    """What the executors need: the terms' weights and the index; ``steps``: the calibration, once there is one."""
+
+    def __init__(self, factor: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int = NEIGHBOURS) -> None:
+        self.k, self.factor, self.labels = k, factor, np.asarray(labels, float)
+        self.own = [self.vector(t, n) for t, n in examples]
+        bare = self.labels[[not w.any() for _, w in self.own]] if len(self.own) else self.labels
+        self.prior = float(self.labels.mean()) if len(self.labels) else 0.5
         # texts without any term: the share among such examples, with one more that has the prior
-        self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
-        self.index = BlockMaxIndex([r[:2] for r in known], np.array([y for *_, y in known]), len(idf))
-        tried = range(0, len(known), max(1, -(-len(known) // CALIBRATE_ROWS)))
-        votes = np.array([self.index.vote(self.index.nearest(*known[i][:2], k, i), self.prior) for i in tried])
-        self.steps = isotonic(votes, self.index.labels[list(tried)]) if len(known) >= 50 else None
-
-    def vector(self, term: list[int], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(term, np.int64)
-        w = (1 + np.log(np.maximum(np.asarray(n, float), 1))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.sqrt(w @ w) or 1.0)
-
-    def score(self, term: list[int], n: list[int]) -> tuple[float, list[int], list[float]]:
+        self.bare = (float(bare.sum()) + self.prior) / (len(bare) + 1)
+        self.index = BlockMaxIndex(self.own, self.labels, len(factor))
+        self.steps: tuple[np.ndarray, np.ndarray] | None = None
+
+    def vector(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(np.maximum(n, 1))) * self.factor[term]
+        return term, w / (np.sqrt(w @ w) or 1.0)
+
+    def held_vote(self, i: int) -> float:
+        """The vote on example ``i`` by the others."""
+        return self.index.vote(self.index.nearest(*self.own[i], self.k, i), self.prior)
+
+    def score(self, term: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(score, nearest examples, their cosines)"""
-        if not len(term):
-            return self.bare, [], []
-        near = self.index.nearest(*self.vector(term, n), self.k)
+        term, weight = self.vector(term, n)
+        if not weight.any() or not len(self.labels):
+            return self.bare, np.zeros(0, np.int64), np.zeros(0)
+        near = self.index.nearest(term, weight, self.k)
         raw = self.index.vote(near, self.prior)
         if self.steps is None:
-            return raw, *map(np.ndarray.tolist, near)
-        x, y = self.steps
-        fitted = float(np.interp(raw, x, y))
+            return raw, *near
         # some of the raw vote keeps the order where the fit is flat
-        return min(1.0, max(0.0, 0.9 * fitted + 0.1 * raw)), *map(np.ndarray.tolist, near)
+        return min(1.0, max(0.0, 0.9 * float(np.interp(raw, *self.steps)) + 0.1 * raw)), *near
+
 
+def numbered(text: bytes, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(term, count) of the known terms of a text, ascending."""
+    found = [known[w] for w in terms(text) if w in known]
+    return np.unique(np.array(found, np.int64), return_counts=True)
 
-def chosen_terms(sample: DataFrame, most: int = MOST_TERMS) -> list[bytes]:
-    """Terms of a table (_text binary, _label) that go with label 1; at most ``most`` reach the driver."""
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> pa.Table:
+    """(id, label, terms) of at most ``sample_rows`` labelled documents, in order of id; terms are the different words of a text."""
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("label"))
+    sample = F.broadcast(usable.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # bounded by sample_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                with_label: Counter = Counter()
-                without: Counter = Counter()
-                for text, label in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
-                    (with_label if label else without).update(set(terms(text)))
-                every = list({*with_label, *without})
-                yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([with_label[t] for t in every], pa.int64()), pa.array([without[t] for t in every], pa.int64())], names=["term", "a", "b"])
-
-    n1, n0 = sample.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_label")), F.lit(0))).first()
-    if not n1 or not n0:
-        return []
-    found = sample.select("_text", "_label").mapInArrow(run, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n = float(n1 + n0)
-    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (float(n1) * n0 * (a + b) * F.greatest(n - a - b, F.lit(1.0)))
-    p, q = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
-    kept = found.withColumn("chi", chi).where((a + b >= LEAST_DOCS) & (F.col("chi") >= CHI_SQUARED) & (p >= RATIO * q))
-    return [bytes(r["term"]) for r in kept.orderBy(F.desc("chi"), "term").limit(most).select("term").collect()]
+            found = [np.unique(np.array(terms(t.as_py()), object), return_counts=True) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([t.tolist() for t, _ in found], pa.list_(pa.binary())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int64()))], names=["id", "label", "terms", "counts"])
+
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("_text")).join(sample, "id")
+    # of documents that repeat an id, the text that comes first
+    once = texts.groupBy("id", "label").agg(F.min("_text").alias("_text")).select("_text", "id", "label")
+    kind = once.schema["id"].dataType.simpleString()
+    return once.mapInArrow(run, f"id {kind}, label int, terms array<binary>, counts array<long>").orderBy("id").toArrow()
 
 
-def term_counts(docs: DataFrame, vocabulary: list[bytes], text_col: str, keep: tuple) -> DataFrame:
-    """(*keep, terms, counts): the vocabulary's terms in each whole text and how often each is there; after them its signs."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # at most MOST_TERMS
-    rows = docs.select(text_bytes(text_col).alias("_text"), *keep)
+def document_frequencies(docs: DataFrame, text_col: str, known, n_terms: int) -> tuple[int, np.ndarray]:
+    """The number of rows, and of rows that have each term. ``known``: the broadcast numbers of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.value
+        df, rows = np.zeros(n_terms, np.int64), 0
         for batch in batches:
-            ids, n = [], []
+            rows += batch.num_rows
             for text in batch.column(0):
-                words = terms(text.as_py())
-                found = Counter([known[w] for w in words if w in known])
-                if found:
-                    found.update(signs(len(found), found.total(), len(words), len(known)))
-                ids.append(sorted(found))
-                n.append([found[t] for t in ids[-1]])
-            columns = [pa.array(x, pa.list_(pa.int32())) for x in (ids, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*batch.schema.names[1:], "terms", "counts"])
+                df[numbered(text.as_py(), known.value)[0]] += 1
+        term = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], rows))], names=["term", "n"])
 
-    schema = rows.drop("_text").schema.add("terms", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
-    return rows.mapInArrow(run, schema)
+    counted = docs.select(text_bytes(text_col).alias("_text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    df = np.zeros(n_terms, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, most_terms: int = MOST_TERMS, k: int = NEIGHBOURS, with_evidence: bool = True) -> DataFrame:
-    """(id, held_out, score[, evidence]) for every row of ``docs``.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, calibrate_rows: int = SAMPLE_ROWS, k: int = NEIGHBOURS) -> DataFrame:
+    """(id, held_out, score, evidence) for every row of ``docs``.
 
-    ``evidence``: the nearest examples as (id, cosine, label), nearest first. Texts without any chosen term, empty and null
-    ones among them, get the share of label 1 among such examples. Without labels of both kinds all scores are the prior, 0.5 if
-    there are none. An empty table gives an empty one.
+    ``evidence``: the nearest examples as (id, cosine, label), nearest first. ``sample_rows``: most labelled rows that are learned
+    from; ``calibrate_rows``: most of them that the calibration is fitted on, evenly spaced by id. An id that is labelled more
+    than once has label 1 if any of its labels is. Texts without any word that an example has, empty and null ones among them,
+    get the share of label 1 among such examples. Without labels of both kinds all scores are the prior, 0.5 if there are none.
+    Repeated rows are as many rows; an empty table gives an empty one; other columns are not read.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) != 0).cast("int").alias("_label")).where(~held_out("_id"))
-    sample = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows))  # bounded by sample_rows
-    sample = saved(docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(sample, "_id"), "examples")
-    vocabulary = chosen_terms(sample, most_terms)
-    counted = saved(term_counts(docs, vocabulary, text_col, (F.col(id_col).alias("id"),)), "terms")
-    total = counted.count()
-    df = {r["t"]: r["n"] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each chosen term
-    idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary) + COUNT_SIGNS + SHARE_SIGNS)])
-    # a labelled document may be repeated in docs: one example for each label
-    own = sample.select("_id", "_label").distinct().join(counted, F.col("_id") == F.col("id")).dropDuplicates(["_id", "_label"])
-    examples = own.select("_id", "_label", "terms", "counts").orderBy("_id", "_label").collect()  # at most sample_rows, of a few numbers each
-    scorer = spark.sparkContext.broadcast(Scorer(idf, [(r["terms"], r["counts"], r["_label"]) for r in examples], k))
-    named = spark.sparkContext.broadcast([(r["_id"], r["_label"]) for r in examples if r["terms"]])
-    evidence = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
+    sample = labelled_terms(docs, labels, id_col, text_col, label_col, sample_rows)
+    ids, label = sample.column("id").combine_chunks(), sample.column("label").to_numpy().astype(float)
+    words = sample.column("terms").combine_chunks()
+    words = words if isinstance(words, pa.ListArray) else pa.concat_arrays(words.chunks)
+    coded = words.flatten().dictionary_encode()
+    n_terms, number = len(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(coded.dictionary.to_pylist())})  # the sample's words
+    sizes = np.diff(words.offsets.to_numpy())
+    counts = sample.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    examples = list(zip(np.split(number, np.cumsum(sizes)[:-1]), np.split(counts, np.cumsum(sizes)[:-1]))) if len(sizes) else []
+    hit = np.repeat(label, sizes)
+    a, b = np.bincount(number, hit, minlength=n_terms), np.bincount(number, 1 - hit, minlength=n_terms)
+    total, df = document_frequencies(docs, text_col, known, n_terms)
+    scorer = Scorer(factors(a, b, int(label.sum()), int((1 - label).sum()), np.log((1 + total) / (1 + df))), examples, label, k)
+    if 0 < label.sum() < len(label) and len(label) >= 50:
+        tried = spark.range(0, len(label), max(1, -(-len(label) // calibrate_rows)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        whole = spark.sparkContext.broadcast(scorer)
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([whole.value.held_vote(i) for i in batch.column(0).to_pylist()], pa.float64())], names=["i", "vote"])
+
+        votes = tried.mapInArrow(left_out, "i long, vote double").orderBy("i").toArrow()  # calibrate_rows numbers at most
+        scorer.steps = isotonic(votes.column("vote").to_numpy(), label[votes.column("i").to_numpy()])
+        whole.unpersist()
+    scorer.own = []
+    ready = spark.sparkContext.broadcast((scorer, ids, pa.array(label.astype(np.int32))))
+    evidence = pa.list_(pa.struct([("id", ids.type), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, named, marks = ready.value
         for batch in batches:
-            found = [scorer.value.score(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = [batch.column(0), pa.array([s for s, *_ in found], pa.float64())]
-            if with_evidence:
-                columns.append(pa.array([[{"id": str(named.value[i][0]), "cosine": c, "label": named.value[i][1]} for i, c in zip(e, s)] for _, e, s in found], evidence))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "score", "evidence"][: len(columns)])
-
-    # the table is small for its rows' work, so it is dealt evenly
-    dealt = counted.select("id", "terms", "counts").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = dealt.mapInArrow(run, f"id {kind}, score double" + ", evidence array<struct<id:string,cosine:double,label:int>>" * with_evidence)
-    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", *["evidence"] * with_evidence)
+            found = [model.score(*numbered(text.as_py(), known.value)) for text in batch.column(0)]
+            ends = np.cumsum([0, *(len(e) for _, e, _ in found)]).astype(np.int32)
+            near = pa.array(np.concatenate([e for _, e, _ in found]) if found else np.zeros(0, np.int64))
+            cosines = pa.array(np.concatenate([c for *_, c in found]) if found else np.zeros(0))
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([named.take(near), cosines, marks.take(near)], names=["id", "cosine", "label"]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s for s, *_ in found], pa.float64()), held.cast(evidence)], names=["id", "score", "evidence"])
+
+    rows = docs.select(text_bytes(text_col).alias("_text"), F.col(id_col).alias("id"))
+    out = rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:{kind},cosine:double,label:int>>")
+    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", "evidence")
