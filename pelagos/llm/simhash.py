@@ -5,12 +5,18 @@ fingerprints that differ in at most ``radius`` bits have a value between them th
 of that. So every distinct fingerprint emits all values within half the radius (65 of them for radius 2), rows meet on
 the value, and those that meet are verified and linked. A value has as many distinct fingerprints around it as there are
 bits at most, so no bucket is large, however many copies a text has.
+
+:func:`near_duplicates` links 64 bits at a radius. :func:`drop_near_duplicates` links texts by the Jaccard similarity of their
+shingles: two at 0.8 differ in 15 % of their bits, which no ball around the whole fingerprint reaches. So its fingerprints are
+wider and cut into bands, each of which is ball hashed on its own, and texts that meet in a band are verified by their entire
+sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagos.llm.common import saved, text_bytes, unused
+from pelagos.llm.common import joined_by_copies, saved, text_bytes, unused
 from pelagos.llm.components import components
 
 SEED, BITS, CHUNK = 42, 64, 1 << 16
@@ -55,11 +61,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, schema)
 
 
-def masks(radius: int) -> list[int]:
-    """All numbers of at most half of ``radius`` bits, as signed longs."""
+def masks(radius: int, width: int = BITS) -> list[int]:
+    """All numbers of ``width`` bits with at most half of ``radius`` set, as signed longs."""
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even: fingerprints that meet are then within it of each other")
-    found = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(BITS), k)]
+    found = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(width), k)]
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in found]
 
 
@@ -77,17 +83,17 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = 2) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of a saved table of :func:`fingerprints`.
+    """(of, component_id, copies) for every distinct fingerprint ``of`` of a saved table of :func:`fingerprints`: a saved table.
 
     ``component_id``: the least id that is reachable over links of at most ``radius`` differing bits. Null ids don't count;
     a component of null ids only has a null one.
     """
-    distinct = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "fps")
+    distinct = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("copies")), "fps")
     roots = components(links(distinct, radius), "a", "b")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return saved(rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id", "copies"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -99,20 +105,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = saved(fingerprints(docs, id_col, text_col, width), "prints")
     classes = near_classes(prints, id_col, radius)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return prints.join(classes, "fp").select(id_col, digits, "component_id")
+    return joined_by_copies(prints, classes, "fp", "of", "copies", prints.count()).select(id_col, digits, "component_id")
+
+
+def shingles(text: bytes, width: int = 5) -> set[bytes]:
+    """All runs of ``width`` words of UTF-8 bytes, in lower case (A-Z). Fewer words: one run of all of them."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similarity(a: bytes, b: bytes, width: int = 5) -> float:
+    x, y = shingles(a, width), shingles(b, width)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+def bit_share(least: float) -> float:
+    """The share of bits in which two texts at a Jaccard similarity of ``least`` differ, about: the angle of their shingle vectors over pi."""
+    return acos(2 * least / (1 + least)) / pi
+
+
+def band_plan(texts: int, least: float, recall: float = 0.95, radius: int = 2) -> tuple[int, int]:
+    """(bits of a band, bands). A band has ten bits more than the number of texts, so that texts that have nothing in common
+    rarely meet, whatever their number; there are as many bands as let two texts at ``least`` meet with a probability of ``recall``."""
+    bits, p = max(16, min(56, texts.bit_length() + 10)), bit_share(least)
+    hit = sum(comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1))
+    return bits, max(1, ceil(log(1 - recall) / log(1 - hit)))
+
+
+def bands(text: bytes, width: int, bits: int, number: int) -> np.ndarray:
+    """The bands of a text's wide fingerprint as signed longs, each with its number above its bits."""
+    found = shingles(text, width)
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+    ones = np.zeros(-(-bits * number // BITS) * BITS, np.int64)
+    for at in range(0, len(h), CHUNK):
+        for k in range(0, len(ones), BITS):
+            x = h[at : at + CHUNK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # the next 64 bits of each shingle
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones[k : k + BITS] += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    set_ = (2 * ones > len(h))[: bits * number].reshape(number, bits)
+    return set_ @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(number, dtype=np.int64) << bits)
+
+
+def own_text(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int, number: int) -> DataFrame:
+    """(id, _own, bands) for every row: ``_own`` stands for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([bands(t.as_py(), width, bits, number) for t in batch.column(0)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], names=[*batch.schema.names[1:], "bands"])
+
+    kept = docs.select(text_bytes(text_col).alias("_text"), F.col(id_col).alias(id_col), own_text(text_col).alias("_own"))
+    return kept.mapInArrow(run, kept.drop("_text").withColumn("bands", F.array(F.lit(0).cast("long"))).schema)
+
+
+def met(distinct: DataFrame, bits: int, radius: int = 2) -> DataFrame:
+    """(value, n, first, rows, exact): what each text emits where others do, too. ``first``: the least text there; ``exact``:
+    whether the value is the text's own band."""
+    ball = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(radius, bits)]))
+    emitted = distinct.select("n", F.explode("bands").alias("band")).select("n", "band", ball.alias("mask"))
+    emitted = emitted.select("n", F.col("band").bitwiseXOR(F.col("mask")).alias("value"), (F.col("mask") == 0).alias("exact"))
+    around = Window.partitionBy("value")
+    return emitted.select("value", "n", "exact", F.min("n").over(around).alias("first"), F.count(F.lit(1)).over(around).alias("rows")).where("rows > 1")
+
 
+def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    return pairs.where(F.col(one) != F.col(other)).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; all columns are kept.
 
-    Rows of the same id and text are one document: they stay or go together. Rows with a null id stay only if their whole
-    component has null ids.
+def _within(pairs: DataFrame, distinct: DataFrame, differing: int) -> DataFrame:
+    """Those of (a, b) whose wide fingerprints differ in at most so many bits: no shingles are compared for the others."""
+    one, other = distinct.select(F.col("n").alias("a"), F.col("bands").alias("x")), distinct.select(F.col("n").alias("b"), F.col("bands").alias("y"))
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return pairs.join(one, "a").join(other, "b").where(bits <= differing).select("a", "b")
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """Those of a saved table (a, b) whose texts have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(distinct.select("n", "_own"), "n"), "named")
+    # only texts that meet others go on; a merge join at every size, as the list grows with the rows
+    texts = docs.select(own_text(text_col).alias("_own"), text_bytes(text_col).alias("_text")).join(named.hint("merge"), "_own")
+    texts = saved(texts.groupBy("n").agg(F.min("_text").alias("_text")), "texts")
+    one, other = texts.toDF("a", "_text_a"), texts.toDF("b", "_text_b")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "_text_a", "_text_b")
+    return saved(both.mapInArrow(run, pairs.select("a", "b").schema), "similar")
+
+
+def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float, bits: int, number: int) -> DataFrame:
+    """(node, root) for texts that are linked with a lesser one. ``distinct``: a saved table (_own, n, bands), a row for each text.
+
+    First each text is compared with the least one in each of its bands' own buckets, and in buckets of two with the other.
+    That links large groups with as many comparisons as they have texts. What then still is in different components and
+    shares a larger bucket is compared, too, pair by pair, so no two texts that meet stay unlinked.
     """
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own")
-    prints = saved(fingerprints(docs, id_col, text_col, width, (own,)), "prints")
-    classes = near_classes(prints, id_col, radius)
-    gone = prints.join(classes, "fp").where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "_own").distinct()
-    gone = saved(gone, "gone")
+    share, total = bit_share(least), bits * number
+    differing = int(share * total + 6 * sqrt(total * share * (1 - share)))
+    shared = saved(met(distinct, bits), "met")
+    pairs = saved(_within(_ordered(shared.where("exact or rows = 2"), "first", "n"), distinct, differing), "pairs")
+    links = verified(pairs, distinct, docs, text_col, width, least)
+    roots = components(links, "a", "b")
+    crowded = shared.where("rows > 2").select("value", "n").join(roots, F.col("n") == F.col("node"), "left").select("value", "n", F.coalesce("root", "n").alias("root"))
+    crowded = saved(crowded, "crowded")
+    split = crowded.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
+    crowded = crowded.join(split, "value", "left_semi")
+    one, other = crowded.toDF("value", "one", "root_one"), crowded.toDF("value", "other", "root_other")
+    across = _ordered(one.join(other, "value").where("root_one < root_other"), "one", "other")
+    later = saved(_within(across, distinct, differing).join(pairs, ["a", "b"], "left_anti"), "later")
+    if later.isEmpty():
+        return roots
+    return components(links.unionByName(verified(later, distinct, docs, text_col, width, least)), "a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component of texts with a similarity of ``least`` or more.
+
+    All columns are kept, whatever their names. Rows of the same id and text are one document: they stay or go together. Rows
+    with a null id stay only if their whole component has null ids. A null text is an empty one; an empty table gives an empty
+    one. ``recall``: how likely a pair at ``least`` is met; nearer ones are met more often.
+    """
+    bits, number = band_plan(docs.count(), least, recall)
+    sketches = saved(sketched(docs, id_col, text_col, width, bits, number), "sketches")
+    distinct = saved(sketches.groupBy("_own").agg(F.min("bands").alias("bands")).withColumn("n", F.monotonically_increasing_id()), "distinct")
+    roots = similar_roots(distinct, docs, text_col, width, least, bits, number)
+    named = distinct.select("_own", "n").join(roots, F.col("n") == F.col("node"), "left").select("_own", F.coalesce("root", "n").alias("root"))
+    rooted = sketches.select(id_col, "_own").join(named, "_own")
+    rooted = saved(rooted, "rooted")
+    classes = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    gone = rooted.join(classes, "root").where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), "_own").distinct()
+    gone = saved(gone, "gone").hint("merge")  # it grows with the corpus
     mark = unused("_own_text", docs)
-    tagged = docs.withColumn(mark, own)
+    tagged = docs.withColumn(mark, own_text(text_col))
     return tagged.join(gone, tagged[id_col].eqNullSafe(gone["_id"]) & (tagged[mark] == gone["_own"]), "left_anti").drop(mark)

@@ -1,14 +1,16 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from pelagos.llm.components import components
-from pelagos.llm.exact_dedup import CuckooIndex, digests, drop_duplicates, duplicates, live_index
-from pelagos.llm.simhash import drop_near_duplicates, fingerprint, links, masks, near_duplicates
+from pelagos.llm.exact_dedup import CuckooIndex, _meet, _task, digests, drop_duplicates, duplicates, live_index
+from pelagos.llm.simhash import band_plan, bands, drop_near_duplicates, fingerprint, links, masks, near_duplicates, shingles, similarity
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,14 +60,63 @@ def test_near_duplicates_agree_with_all_pairs(spark):
 
 def test_one_document_of_each_group_stays(spark):
     rows = cases.rows()
-    prints = [slow_fingerprint(r[1]) for r in rows]
-    wanted = Counter(tuple(r) for r, c in zip(rows, classes([r[0] for r in rows], prints)) if r[0] == c)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [frozenset(shingles((r[1] or "").encode())) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)].append(r[0])
+    wanted = Counter(tuple(r) for i, r in enumerate(rows) if r[0] == min(least[find(i)], default=None))
     found = drop_near_duplicates(cases.table(spark))
     assert found.columns == cases.table(spark).columns
     assert Counter(map(tuple, found.collect())) == wanted
     assert drop_near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_bands_agree_with_the_definition():
+    for text in cases.texts()[:40]:
+        data = (text or "").encode()
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles(data)]
+        mixed = []
+        for k in range(3):
+            word = []
+            for x in h:
+                x = (x + (64 * k + 1) * 0x9E3779B97F4A7C15) % 2**64
+                x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+                word.append((x ^ (x >> 31)).to_bytes(8, "little"))
+            for at in range(64):
+                mixed.append(2 * sum(w[at // 8] >> (7 - at % 8) & 1 for w in word) > len(h))
+        wanted = [sum(bool(b) << i for i, b in enumerate(mixed[28 * n : 28 * n + 28])) + (n << 28) for n in range(6)]
+        assert bands(data, 5, 28, 6).tolist() == wanted
+
+
+def test_texts_at_the_threshold_meet():
+    bits, number = band_plan(200_000, 0.8)
+    assert (bits, number) == (28, 15)
+    rng, hit = np.random.default_rng(2), 0
+    for _ in range(300):
+        words = [b"%d" % x for x in rng.integers(0, 10**6, 404)]
+        near = list(words)
+        for at in range(10, 404, 45):  # 9 words: 355 of 445 shingles are shared
+            near[at] = b"x%d" % rng.integers(10**6)
+        a, b = bands(b" ".join(words), 5, bits, number), bands(b" ".join(near), 5, bits, number)
+        hit += (np.bitwise_count(a ^ b) <= 2).any()
+    assert hit >= 0.9 * 300
+
+
 @pytest.mark.parametrize("radius", [0, 2, 4])
 def test_links_connect_all_within_the_radius(spark, radius):
     rng = np.random.default_rng(radius)
@@ -132,11 +183,42 @@ def test_of_equal_texts_one_row_stays(spark):
 def test_deleting_the_last_copy_takes_a_digest_out(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "doc_id long, text string")
     keys = digests(docs)
-    gone = keys.where("id in (2, 3)").select("digest")
+    gone = keys.where("id in (2, 3)").select("digest", "size")
     found = {(r["keep_id"], r["copies"]) for r in live_index(keys, gone).collect()}
     assert found == {(1, 1), (4, 1)}
 
 
+def test_copies_meet_in_the_index_and_not_in_an_aggregate(spark):
+    keys = digests(cases.table(spark))
+    plan = live_index(keys)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.count("MapInArrow") == 2 and "Aggregate" not in plan
+    small = {(r["digest"], r["keep_id"], r["copies"]) for r in live_index(keys, shard_keys=10, task_keys=3).collect()}
+    assert small == {(r["digest"], r["keep_id"], r["copies"]) for r in live_index(keys).collect()}
+
+
+def test_a_tasks_index_deletes_its_oldest_entries():
+    schema = pa.schema([("digest", pa.binary()), ("size", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("copies", pa.int64())])
+    rng = random.Random(4)
+    rows = [(hashlib.sha256(b"%d" % k).digest(), k, 100 - i, i) for i, k in enumerate(rng.choices(range(30), k=400))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["digest", "size", "id", "row"])
+    out = [r for b in _task(iter([batch]), schema, 5) for r in zip(*(c.to_pylist() for c in b.columns))]
+    total, least = Counter(), {}
+    for digest, size, who, row, n in out:
+        total[digest] += n
+        least[digest] = min(least.get(digest, (who, row)), (who, row))
+    assert total == Counter(r[0] for r in rows)
+    assert all(least[d] == min((r[2], r[3]) for r in rows if r[0] == d) for d in least)
+    assert len(_entries_of_last(out)) <= 5 < len(out) < 400  # some copies met, some were handed on
+    index = CuckooIndex(2)
+    for digest, size, who, row in rows:
+        _meet(index, digest + size.to_bytes(8, "little"), who, row, 1)
+    assert index.hits == 400 - 30 and index.resized > 0 and index.size == 30
+
+
+def _entries_of_last(out):
+    return {r[0] for r in out[-5:]}
+
+
 def test_cuckoo_index_against_a_dict():
     rng = np.random.default_rng(5)
     index, live = CuckooIndex(2), {}
@@ -167,10 +249,7 @@ def test_cuckoo_index_with_equal_tags_and_buckets():
 
 
 def test_similar_texts_are_dropped_by_the_pipeline(spark):
-    import random
-
     import corpus_pipeline as cp
-    from pelagos.llm.similar import similarity
 
     rng = random.Random(11)
     rows = []
@@ -203,6 +282,7 @@ def test_similar_texts_are_dropped_by_the_pipeline(spark):
     wanted = {rows[i][0] for i in range(850) if find(i) == i} | {5000, 5002}
     assert len(wanted) == 150 + 150 + 1 + 2  # the first change is near, the second is not
     found = [r[0] for r in cp.near(spark, docs, "").collect()]
-    assert sorted(x for x in found if x is not None) == sorted(wanted)
+    missed = {x for x in found if x is not None} - wanted  # pairs near the threshold that meet in no band
+    assert wanted <= set(found) and len(missed) <= 0.05 * 150 and all(x < 450 for x in missed)
     assert found.count(None) == 1
     assert cp.near(spark, docs.limit(0), "").count() == 0
