@@ -169,9 +169,12 @@ def met(distinct: DataFrame, bits: int, radius: int = 2) -> DataFrame:
     whether the value is the text's own band."""
     ball = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(radius, bits)]))
     emitted = distinct.select("n", F.explode("bands").alias("band")).select("n", "band", ball.alias("mask"))
-    emitted = emitted.select("n", F.col("band").bitwiseXOR(F.col("mask")).alias("value"), (F.col("mask") == 0).alias("exact"))
+    # two numbers a row: nothing else is shuffled as often
+    who = (F.shiftleft("n", 1) + (F.col("mask") == 0).cast("long")).alias("who")
+    emitted = emitted.select(F.col("band").bitwiseXOR(F.col("mask")).alias("value"), who)
     around = Window.partitionBy("value")
-    return emitted.select("value", "n", "exact", F.min("n").over(around).alias("first"), F.count(F.lit(1)).over(around).alias("rows")).where("rows > 1")
+    shared = emitted.select("value", "who", F.min("who").over(around).alias("first"), F.count(F.lit(1)).over(around).alias("rows")).where("rows > 1")
+    return shared.select("value", F.shiftright("who", 1).alias("n"), F.shiftright("first", 1).alias("first"), "rows", (F.col("who") % 2 == 1).alias("exact"))
 
 
 def _ordered(pairs: DataFrame, one: str, other: str) -> DataFrame:
@@ -185,21 +188,29 @@ def _within(pairs: DataFrame, distinct: DataFrame, differing: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(bits <= differing).select("a", "b")
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """Those of a saved table (a, b) whose texts have a similarity of ``least`` or more."""
+def shingle_hashes(texts: DataFrame, width: int) -> DataFrame:
+    """(n, hashes) of a table (_text, n): the XXH64 of each different shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similarity(x.as_py(), y.as_py(), width) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t.as_py(), width)], np.uint64).view(np.int64) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["n", "hashes"])
+
+    return texts.mapInArrow(run, "n long, hashes array<long>")
 
+
+def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """Those of a saved table (a, b) whose texts have a similarity of ``least`` or more, by all their shingles' 64-bit hashes."""
     named = saved(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(distinct.select("n", "_own"), "n"), "named")
     # only texts that meet others go on; a merge join at every size, as the list grows with the rows
     texts = docs.select(own_text(text_col).alias("_own"), text_bytes(text_col).alias("_text")).join(named.hint("merge"), "_own")
-    texts = saved(texts.groupBy("n").agg(F.min("_text").alias("_text")), "texts")
-    one, other = texts.toDF("a", "_text_a"), texts.toDF("b", "_text_b")
-    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "_text_a", "_text_b")
-    return saved(both.mapInArrow(run, pairs.select("a", "b").schema), "similar")
+    hashes = saved(shingle_hashes(texts.groupBy("n").agg(F.min("_text").alias("_text")).select("_text", "n"), width), "hashes")
+    one, other = hashes.toDF("a", "x"), hashes.toDF("b", "y")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return saved(both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "similar")
 
 
 def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float, bits: int, number: int) -> DataFrame:
@@ -210,7 +221,7 @@ def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: in
     shares a larger bucket is compared, too, pair by pair, so no two texts that meet stay unlinked.
     """
     share, total = bit_share(least), bits * number
-    differing = int(share * total + 6 * sqrt(total * share * (1 - share)))
+    differing = int(share * total + 4 * sqrt(total * share * (1 - share)))
     shared = saved(met(distinct, bits), "met")
     pairs = saved(_within(_ordered(shared.where("exact or rows = 2"), "first", "n"), distinct, differing), "pairs")
     links = verified(pairs, distinct, docs, text_col, width, least)
