@@ -201,41 +201,71 @@ def shingle_hashes(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "n long, hashes array<long>")
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
-    """Those of a saved table (a, b) whose texts have a similarity of ``least`` or more, by all their shingles' 64-bit hashes."""
-    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().join(distinct.select("n", "_own"), "n"), "named")
+def hashes_of(named: DataFrame, distinct: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(n, hashes) of the texts of a table (n): a saved table."""
+    named = saved(named.join(distinct.select("n", "_own"), "n"), "named")
     # only texts that meet others go on; a merge join at every size, as the list grows with the rows
     texts = docs.select(own_text(text_col).alias("_own"), text_bytes(text_col).alias("_text")).join(named.hint("merge"), "_own")
-    hashes = saved(shingle_hashes(texts.groupBy("n").agg(F.min("_text").alias("_text")).select("_text", "n"), width), "hashes")
+    return saved(shingle_hashes(texts.groupBy("n").agg(F.min("_text").alias("_text")).select("_text", "n"), width), "hashes")
+
+
+def verified(pairs: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """Those of (a, b) whose texts have a similarity of ``least`` or more, by all their shingles' 64-bit hashes: a saved table."""
     one, other = hashes.toDF("a", "x"), hashes.toDF("b", "y")
     both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return saved(both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "similar")
 
 
+def across(rooted: DataFrame, hashes: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of texts with different roots that can have a similarity of ``least``. ``rooted``: (n, root); ``hashes``: a saved table.
+
+    Texts that share a frequent passage meet in many buckets and yet aren't similar, so they aren't compared pair by pair:
+    with the shingles of each in one order, rare ones first, two similar texts share one among the first few of both, and the
+    smaller text's few are fewer (Xiao et al., "Efficient Similarity Joins for Near Duplicate Detection", WWW 2008).
+    """
+    shingle = hashes.select("n", F.explode("hashes").alias("h"))
+    often = saved(shingle.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("copies")), "often")
+    total = often.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    ordered = joined_by_copies(shingle, often, "h", "of", "copies", total).groupBy("n").agg(F.sort_array(F.collect_list(F.struct("copies", "h"))).alias("all"))  # those of one text
+    size = F.size("all")
+    most = (size - F.ceil(size * least - 1e-9) + 1).cast("int")
+    few = (size - F.ceil(size * (2 * least / (1 + least)) - 1e-9) + 1).cast("int")
+    entries = ordered.join(rooted, "n").select("n", "root", size.alias("size"), few.alias("few"), "all", F.posexplode(F.slice("all", F.lit(1), most)).alias("at", "of"))
+    # the shingle before: where two texts share that, too, they have met there
+    before = F.try_element_at("all", F.nullif("at", F.lit(0)))["h"].alias("before")
+    entries = saved(entries.where("of.copies > 1").select("n", "root", "size", "few", "at", F.col("of.h").alias("h"), before), "entries")
+    names = ("h", "n", "root", "size", "at", "before")
+    one, other = (side.select(*[F.col(c).alias(f"{name}_{c}") for c in names]) for name, side in (("one", entries.where("at < few")), ("other", entries)))
+    rest = F.least(F.col("one_size") - F.col("one_at"), F.col("other_size") - F.col("other_at"))  # the most that they can share from here on
+    smaller = "one_root != other_root and (one_size < other_size or one_size = other_size and one_n < other_n)"
+    near = (F.col("one_size") >= F.col("other_size") * least - 1e-9) & (rest >= (F.col("one_size") + F.col("other_size")) * (least / (1 + least)) - 1e-9)
+    new = F.expr("one_before is null or other_before is null or one_before != other_before")
+    return _ordered(one.join(other, (F.col("one_h") == F.col("other_h")) & F.expr(smaller) & near & new), "one_n", "other_n")
+
+
 def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: int, least: float, bits: int, number: int) -> DataFrame:
     """(node, root) for texts that are linked with a lesser one. ``distinct``: a saved table (_own, n, bands), a row for each text.
 
     First each text is compared with the least one in each of its bands' own buckets, and in buckets of two with the other.
     That links large groups with as many comparisons as they have texts. What then still is in different components and
-    shares a larger bucket is compared, too, pair by pair, so no two texts that meet stay unlinked.
+    shares a larger bucket goes to :func:`across`, which loses no similar pair among them.
     """
     share, total = bit_share(least), bits * number
     differing = int(share * total + 4 * sqrt(total * share * (1 - share)))
     shared = saved(met(distinct, bits), "met")
     pairs = saved(_within(_ordered(shared.where("exact or rows = 2"), "first", "n"), distinct, differing), "pairs")
-    links = verified(pairs, distinct, docs, text_col, width, least)
+    links = verified(pairs, hashes_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), distinct, docs, text_col, width), least)
     roots = components(links, "a", "b")
     crowded = shared.where("rows > 2").select("value", "n").join(roots, F.col("n") == F.col("node"), "left").select("value", "n", F.coalesce("root", "n").alias("root"))
     crowded = saved(crowded, "crowded")
     split = crowded.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
-    crowded = crowded.join(split, "value", "left_semi")
-    one, other = crowded.toDF("value", "one", "root_one"), crowded.toDF("value", "other", "root_other")
-    across = _ordered(one.join(other, "value").where("root_one < root_other"), "one", "other")
-    later = saved(_within(across, distinct, differing).join(pairs, ["a", "b"], "left_anti"), "later")
-    if later.isEmpty():
+    rooted = saved(crowded.join(split, "value", "left_semi").select("n", "root").distinct(), "split")
+    if rooted.isEmpty():
         return roots
-    return components(links.unionByName(verified(later, distinct, docs, text_col, width, least)), "a", "b")
+    hashes = hashes_of(rooted.select("n"), distinct, docs, text_col, width)
+    later = verified(saved(across(rooted, hashes, least), "later"), hashes, least)
+    return components(links.unionByName(later), "a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, recall: float = 0.95) -> DataFrame:
