@@ -248,8 +248,8 @@ def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: in
     """(node, root) for texts that are linked with a lesser one. ``distinct``: a saved table (_own, n, bands), a row for each text.
 
     First each text is compared with the least one in each of its bands' own buckets, and in buckets of two with the other.
-    That links large groups with as many comparisons as they have texts. What then still is in different components and
-    shares a larger bucket goes to :func:`across`, which loses no similar pair among them.
+    That links large groups with as many comparisons as they have texts. All that are in larger buckets go to :func:`across`,
+    which loses no similar pair of different components among them.
     """
     share, total = bit_share(least), bits * number
     differing = int(share * total + 4 * sqrt(total * share * (1 - share)))
@@ -257,10 +257,8 @@ def similar_roots(distinct: DataFrame, docs: DataFrame, text_col: str, width: in
     pairs = saved(_within(_ordered(shared.where("exact or rows = 2"), "first", "n"), distinct, differing), "pairs")
     links = verified(pairs, hashes_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct(), distinct, docs, text_col, width), least)
     roots = components(links, "a", "b")
-    crowded = shared.where("rows > 2").select("value", "n").join(roots, F.col("n") == F.col("node"), "left").select("value", "n", F.coalesce("root", "n").alias("root"))
-    crowded = saved(crowded, "crowded")
-    split = crowded.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value")
-    rooted = saved(crowded.join(split, "value", "left_semi").select("n", "root").distinct(), "split")
+    crowded = shared.where("rows > 2").select("n").distinct()
+    rooted = saved(crowded.join(roots, F.col("n") == F.col("node"), "left").select("n", F.coalesce("root", "n").alias("root")), "crowded")
     if rooted.isEmpty():
         return roots
     hashes = hashes_of(rooted.select("n"), distinct, docs, text_col, width)
