@@ -23,7 +23,7 @@ from pelagos.llm.common import text_bytes
 
 #: Most labelled rows that are learned from: those with the least hash of their id. It bounds the index, too.
 SAMPLE_ROWS = 4_000
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, DENSE = 15, 64, 8, 20
 #: What a term weighs, times TF-IDF, besides its association with label 1.
 REST = 0.3
 
@@ -49,7 +49,8 @@ def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Examples as unit vectors. ``rows``: for each example its (term, weight) pairs; ``labels``: 0 or 1.
 
-    Examples are put into blocks by their heaviest term, so that bounds tell blocks apart.
+    Examples are put into blocks by their heaviest term, so that bounds tell blocks apart. Terms that one in ``DENSE`` examples
+    has, or more, keep a weight for every example in place of postings.
     """
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int) -> None:
@@ -61,9 +62,17 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in rows]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in rows]) if n else np.zeros(0)
         at = np.repeat(self.place, [len(t) for t, _ in rows]) if n else np.zeros(0, np.int64)
+        self.blocks = -(-n // BLOCK)
+        often = np.nonzero(np.bincount(term, minlength=n_terms) * DENSE >= max(n, 1))[0]
+        self.row = np.full(n_terms, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        dense = self.row[term] >= 0
+        self.dense[self.row[term[dense]], at[dense]] = weight[dense]
+        self.dense_greatest = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n else self.dense
+        term, at, weight = term[~dense], at[~dense], weight[~dense]
         order = np.lexsort((at, term))
         self.at, self.weight = at[order].astype(np.int32), weight[order]
-        self.blocks = -(-n // BLOCK)
         # a list is a term's postings in a block
         key = term[order] * max(self.blocks, 1) + self.at // BLOCK
         lists, self.first = np.unique(key, return_index=True)
@@ -77,11 +86,14 @@ class BlockMaxIndex:
 
         The blocks with the highest bounds are scored first, then all others whose bound reaches the k-th cosine so far.
         """
+        row = self.row[term]
+        rows, by = row[row >= 0], weight[row >= 0]
+        term, weight = term[row < 0], weight[row < 0]
         n = self.starts[term + 1] - self.starts[term]
         lists, query = _ranges(self.starts[term], n), np.repeat(weight, n)
         of = self.block[lists]
-        bound = np.bincount(of, query * self.greatest[lists], minlength=self.blocks)
-        scores = np.zeros(len(self.labels))
+        bound = np.bincount(of, query * self.greatest[lists], minlength=self.blocks) + by @ self.dense_greatest[rows]
+        scores, often = np.zeros(len(self.labels)), by @ self.dense[rows]
 
         def add(blocks: np.ndarray) -> float:
             """Scores the examples of blocks; the k-th best cosine of all so far."""
@@ -91,6 +103,7 @@ class BlockMaxIndex:
             few = lists[there]
             postings = _ranges(self.first[few], self.length[few])
             scores[:] += np.bincount(self.at[postings], np.repeat(query[there], self.length[few]) * self.weight[postings], minlength=len(scores))
+            scores[:] += often * np.repeat(chosen, BLOCK)[: len(scores)]
             if without >= 0:
                 scores[self.place[without]] = 0
             return float(np.partition(scores, -k)[-k]) if len(scores) >= k else 0.0
@@ -243,6 +256,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         scorer.steps = isotonic(votes.column("vote").to_numpy(), label[votes.column("i").to_numpy()])
         whole.unpersist()
     scorer.own = []
+    del sample, words, coded, examples, hit
     ready = spark.sparkContext.broadcast((scorer, ids, pa.array(label.astype(np.int32))))
     evidence = pa.list_(pa.struct([("id", ids.type), ("cosine", pa.float64()), ("label", pa.int32())]))
 
