@@ -27,7 +27,8 @@ QUERIES = {
     "op_3x": "arith_scalar",
     "udf_exp": "unary_exp",
     "groupby_var": "group_var",
-    "join": "join_inner",
+    "join": "join_orders_customer",
+    "join_grouped": "join_inner",
     "join_multi_key": "join_multi_key",
     "pipeline": "bench_pipeline",
     "sort_topk": "sort_topk",
@@ -35,6 +36,7 @@ QUERIES = {
     "strings": "str_split_right",
     "align": "align_setitem",
     "positions": "slice_step",
+    "number_by_date": "sort_by_date",
 }
 
 

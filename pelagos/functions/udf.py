@@ -112,10 +112,18 @@ def _sorted(series):
 _C_TYPES = {"h": ctypes.c_int16, "i": ctypes.c_int32, "l": ctypes.c_int64, "f": ctypes.c_float, "d": ctypes.c_double}
 
 
+@functools.lru_cache
+def _c_function(path: str, name: str, arguments: tuple[str, ...], result: str):
+    """Opened once for each worker."""
+    found = getattr(ctypes.CDLL(path), name)
+    found.argtypes, found.restype = [_C_TYPES[c] for c in arguments], _C_TYPES[result]
+    return found
+
+
 def load_cudf(path: str, name: str, arguments: list, result) -> str:
     """Registers a scalar function of a C library, to be called by its name in SQL text. Executors load the library from ``path``.
 
-    ``arguments`` and ``result`` are dtypes. It runs in Arrow batches.
+    ``arguments`` and ``result`` are dtypes. Rows come in Arrow batches; the function, being one of scalars, is called for each row.
     """
     kinds = [t.dtype_of(a) for a in arguments]
     back = t.dtype_of(result)
@@ -124,8 +132,7 @@ def load_cudf(path: str, name: str, arguments: list, result) -> str:
     codes, out = [k.char for k in kinds], back.char
 
     def call(*columns: pd.Series) -> pd.Series:
-        found = getattr(ctypes.CDLL(path), name)
-        found.argtypes, found.restype = [_C_TYPES[c] for c in codes], _C_TYPES[out]
+        found = _c_function(path, name, tuple(codes), out)
         return pd.Series([found(*row) for row in zip(*(c.tolist() for c in columns))], dtype=out)
 
     call.__signature__ = inspect.Signature([inspect.Parameter(f"c{i}", inspect.Parameter.POSITIONAL_ONLY, annotation=pd.Series) for i in range(len(codes))], return_annotation=pd.Series)

@@ -70,7 +70,7 @@ class DataFrame:
         kinds = {f.name: t.from_spark(f.dataType) for f in sdf.schema}
         own = sdf.select(*[sdf[f"`{c}`"].alias(n) for c, n in names.items()])
         if order_by:
-            plan = Plan(own, tuple((names[c], True) for c in order_by), "key" if t.is_numeric(kinds[order_by[0]]) or kinds[order_by[0]] == t.STRING else "few")
+            plan = Plan(own, tuple((names[c], True) for c in order_by), "key")
         else:
             at = fresh("at")
             plan = Plan(own.withColumn(at, F.monotonically_increasing_id()), ((at, True),), "key")

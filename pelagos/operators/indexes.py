@@ -148,6 +148,12 @@ class MultiIndex:
     def names(self) -> list[str | None]:
         return [x.name for x in self._all]
 
+    @names.setter
+    def names(self, names: list[str | None]) -> None:
+        if len(names) != len(self._all):
+            raise ValueError("as many names as columns are needed")
+        self._all = tuple(x._replace(name=n) for x, n in zip(self._all, names))
+
     @property
     def dtypes(self) -> list[np.dtype]:
         return [x.dtype for x in self._all]

@@ -66,8 +66,7 @@ def merged(left, right, how: str, on, suffixes: tuple[str, str], algorithm: str)
         for n, (c, dtype) in cols.items():
             if n not in keys:
                 out[n + suffix if n in clash else n] = (t.or_missing(F.col(c), dtype) if may_lack else F.col(c), dtype)
-    kind = levels[0].dtype
-    return DataFrame._of(Plan(sdf, tuple(order), "key" if t.is_numeric(kind) or kind == t.STRING else "few"), out, tuple(levels), len(levels) > 1)
+    return DataFrame._of(Plan(sdf, tuple(order), "key"), out, tuple(levels), len(levels) > 1)
 
 
 def _keys(left, right, on) -> list[str]:

@@ -146,12 +146,104 @@ for _f in _UNARY:
         return _rounded(x[["l_orderkey", "l_linenumber", "y"]].to_spark(), 8, "y")
 
 
-@query("unary_erf", None, "lineitem")
+@query(
+    "unary_erf",
+    """SELECT l_orderkey, l_linenumber, round(2 / sqrt(pi()) * (x - pow(x, 3) / 3 + pow(x, 5) / 10 - pow(x, 7) / 42 + pow(x, 9) / 216 - pow(x, 11) / 1320 + pow(x, 13) / 9360), 8) AS y
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) * 3 - 0.15 AS x FROM lineitem)""",
+    "lineitem",
+)
 def unary_erf(x):
     from pelagos import erf
 
-    x["y"] = x["l_discount"].apply(erf)
-    return x[["l_orderkey", "l_linenumber", "y"]].to_spark()
+    x["y"] = (x["l_discount"] * 3 - 0.15).apply(erf)
+    return _rounded(x[["l_orderkey", "l_linenumber", "y"]].to_spark(), 8, "y")
+
+
+@query("arith_two_columns", "SELECT l_orderkey, l_linenumber, l_extendedprice - l_tax AS less, l_extendedprice / l_quantity AS each, round(pow(l_quantity, l_discount), 8) AS power FROM lineitem", "lineitem")
+def arith_two_columns(x):
+    x["less"] = x["l_extendedprice"] - x["l_tax"]
+    x["each"] = x["l_extendedprice"] / x["l_quantity"]
+    x["power"] = x["l_quantity"] ** x["l_discount"]
+    return _rounded(x[["l_orderkey", "l_linenumber", "less", "each", "power"]].to_spark(), 8, "power")
+
+
+@query("typed_literal", "SELECT p_partkey, CAST(p_size + 3 AS INTEGER) AS more, p_retailprice * 2 AS twice FROM part", "part")
+def typed_literal(p):
+    p["more"] = p["p_size"] + np.int32(3)
+    p["twice"] = p["p_retailprice"] * np.float64(2)
+    return p[["p_partkey", "more", "twice"]].to_spark()
+
+
+@query(
+    "filter_foreign_mask",
+    """SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier)
+JOIN (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier) b USING (place) WHERE b.s_acctbal > 5000""",
+    "supplier",
+)
+def filter_foreign_mask(s):
+    other = s.sort_values(["s_acctbal", "s_suppkey"])["s_acctbal"] > 5000.0
+    return s.sort_values("s_suppkey")[["s_suppkey"]][other].to_spark()
+
+
+# frames, labels and values from the driver and back
+
+
+@query("frame_from_pandas", "SELECT n_nationkey, n_name, n_regionkey FROM nation", "nation")
+def frame_from_pandas(n):
+    from pelagos import DataFrame
+
+    return DataFrame.from_pandas(n.to_pandas()).to_spark()
+
+
+@query("frame_from_dict", "SELECT n_nationkey AS a, n_name AS b, n_regionkey * 2 AS c FROM nation", "nation")
+def frame_from_dict(n):
+    from pelagos import DataFrame
+
+    key, name, region = n.values
+    frame = DataFrame({"a": key, "b": name})
+    frame["c"] = region * 2  # an array goes in by position
+    return frame.to_spark()
+
+
+@query("index_constructors", "SELECT n_nationkey AS i, n_name AS name, CAST(n_nationkey AS BIGINT) AS range FROM nation", "nation")
+def index_constructors(n):
+    from pelagos import DataFrame, Index, MultiIndex, RangeIndex
+
+    key, name, _ = n.sort_values("n_nationkey").values
+    both = MultiIndex([Index(key), Index(name)])
+    both.names = ["i", "name"]
+    return DataFrame({"range": RangeIndex(0, len(key)).values}, both).to_spark(include_index=True)
+
+
+@query("index_from_pandas", "SELECT n_nationkey AS k, n_name AS v FROM nation", "nation")
+def index_from_pandas(n):
+    import pandas as pd
+
+    from pelagos import DataFrame, Index
+
+    key, name, _ = n.values
+    return DataFrame({"v": name}, Index.from_pandas(pd.Index(key, name="k"))).to_spark(include_index=True)
+
+
+@query("range_compare", "SELECT CAST(n_nationkey AS BIGINT) AS i FROM nation WHERE n_nationkey >= 7", "nation")
+def range_compare(n):
+    from pelagos import RangeIndex
+
+    labels = RangeIndex(0, len(n))
+    return labels[labels >= 7].to_spark("i")
+
+
+@query("evaluate", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0", "supplier")
+def evaluate(s):
+    return s[s["s_acctbal"] > 0.0][["s_suppkey", "s_acctbal"]].evaluate().to_spark()
+
+
+@query("lengths_and_types", "SELECT (SELECT count(*) FROM orders) AS n, 'o_orderkey,o_totalprice' AS names, 'int64,float64' AS types", "orders")
+def lengths_and_types(o):
+    few = o[["o_orderkey", "o_totalprice"]]
+    names = ",".join(few)
+    types = ",".join(str(few[c].dtype) for c in few)
+    return o._plan.sdf.sparkSession.createDataFrame([(len(few), names, types)], "n long, names string, types string")
 
 
 # aggregates
@@ -168,9 +260,9 @@ for _how, _sql in _SQL_AGG.items():
             return _rounded(out.withColumn("value", F.col("value").cast("double")), 4, "value")
 
 
-@query("agg_prod", "SELECT CAST(product(r_regionkey + 1) AS INTEGER) AS value FROM region", "region")
-def agg_prod(r):
-    return (r["r_regionkey"] + 1).prod().to_spark().withColumnRenamed("prod", "value")
+@query("agg_prod", "SELECT round(product(1 + l_discount / 1000000), 6) AS value FROM lineitem", "lineitem")
+def agg_prod(x):
+    return _rounded((x["l_discount"] / 1000000 + 1).prod().to_spark().withColumnRenamed("prod", "value"), 6, "value")
 
 
 @query("agg_series_keeps_dtype", "SELECT max(p_size) AS value FROM part", "part")
@@ -201,15 +293,8 @@ for _how, _sql in _GROUP.items():
         return _rounded(out.withColumns({c: F.col(c).cast("double") for c in ("l_quantity", "l_tax")}), 3, "l_quantity", "l_tax")
 
 
-@query("group_prod", "SELECT p_brand, CAST(product(p_size % 3 + 1) AS BIGINT) AS v FROM part WHERE p_partkey <= 200 GROUP BY p_brand", "part")
+@query("group_prod", "SELECT p_brand, round(product(1 + CAST(p_size AS DOUBLE) / 1000000), 6) AS v FROM part GROUP BY p_brand", "part")
 def group_prod(p):
-    few = p[p["p_partkey"] <= 200]
-    few["v"] = few["p_size"].apply("{self} % 3 + 1", new_dtype="int64")
-    return few[["p_brand", "v"]].groupby("p_brand").prod().to_spark(include_index=True)
-
-
-@query("group_prod_whole", "SELECT p_brand, round(product(1 + CAST(p_size AS DOUBLE) / 1000000), 6) AS v FROM part GROUP BY p_brand", "part")
-def group_prod_whole(p):
     p["v"] = p["p_size"].apply("1 + CAST({self} AS DOUBLE) / 1000000", new_dtype="float64")
     return _rounded(p[["p_brand", "v"]].groupby("p_brand").prod().to_spark(include_index=True), 6, "v")
 
@@ -230,52 +315,13 @@ def group_string_min(o):
     return o[["o_orderstatus", "o_orderpriority"]].groupby("o_orderstatus").min().to_spark(include_index=True)
 
 
-# joins: orders of a few customers, one each, with some customers that have none
-
-_ONE = "SELECT o_custkey AS custkey, max(o_totalprice) AS price, min(o_orderkey) AS orderkey FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1"
-_SOME = "SELECT c_custkey AS custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_custkey % 2 = 0"
-
-
-def _sides(o, c):
-    """A frame of the orders' customers, and one of some customers; keys are unique in both."""
-    o["keep"] = o["o_custkey"].apply("{self} % 3 <> 0", new_dtype="bool")
-    few = o[o["keep"]].rename({"o_custkey": "custkey", "o_totalprice": "price", "o_orderkey": "orderkey"})
-    price = few[["custkey", "price"]].groupby("custkey").max()
-    first = few[["custkey", "orderkey"]].groupby("custkey").min()
-    one = price.merge(first, on="custkey").reset_index()
-    c["keep"] = c["c_custkey"].apply("{self} % 2 = 0", new_dtype="bool")
-    some = c[c["keep"]].rename({"c_custkey": "custkey", "c_acctbal": "balance", "c_mktsegment": "segment"})[["custkey", "balance", "segment"]]
-    return one[["custkey", "price", "orderkey"]], some
-
-
-for _how in ("inner", "left", "right", "outer"):
-
-    @query(
-        f"join_{_how}",
-        f"""SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(price, -999) AS price, coalesce(orderkey, -999) AS orderkey, coalesce(balance, -999) AS balance, coalesce(segment, 'None') AS segment
-FROM ({_ONE}) a {'FULL' if _how == 'outer' else _how.upper()} JOIN ({_SOME}) b ON a.custkey = b.custkey""",
-        "orders",
-        "customer",
-    )
-    def _join(o, c, how=_how):
-        one, some = _sides(o, c)
-        out = one.merge(some, how=how, on="custkey").to_spark(include_index=True)
-        return out.select("custkey", "price", "orderkey", "balance", "segment")
-
-
-@query("join_hash", f"SELECT a.custkey, price, balance FROM ({_ONE}) a JOIN ({_SOME}) b ON a.custkey = b.custkey", "orders", "customer")
-def join_hash(o, c):
-    one, some = _sides(o, c)
-    return one[["custkey", "price"]].merge(some[["custkey", "balance"]], on="custkey", algorithm="hash").to_spark(include_index=True).select("custkey", "price", "balance")
-
-
-# the same joins over whole tables: customers without orders, and a predicate on values, leave keys without a match
+# joins over whole tables: customers without orders, and a predicate on values, leave keys without a match
 
 _ALL = "SELECT o_custkey AS custkey, max(o_totalprice) AS price, min(o_orderkey) AS orderkey FROM orders GROUP BY 1"
 _OWING = "SELECT c_custkey AS custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_acctbal < 5000"
 
 
-def _whole_sides(o, c):
+def _sides(o, c):
     every = o.rename({"o_custkey": "custkey", "o_totalprice": "price", "o_orderkey": "orderkey"})
     one = every[["custkey", "price"]].groupby("custkey").max().merge(every[["custkey", "orderkey"]].groupby("custkey").min(), on="custkey").reset_index()
     owing = c[c["c_acctbal"] < 5000.0].rename({"c_custkey": "custkey", "c_acctbal": "balance", "c_mktsegment": "segment"})
@@ -285,29 +331,35 @@ def _whole_sides(o, c):
 for _how in ("inner", "left", "right", "outer"):
 
     @query(
-        f"join_{_how}_whole",
+        f"join_{_how}",
         f"""SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(price, -999) AS price, coalesce(orderkey, -999) AS orderkey, coalesce(balance, -999) AS balance, coalesce(segment, 'None') AS segment
 FROM ({_ALL}) a {'FULL' if _how == 'outer' else _how.upper()} JOIN ({_OWING}) b ON a.custkey = b.custkey""",
         "orders",
         "customer",
     )
-    def _join_whole(o, c, how=_how):
-        one, owing = _whole_sides(o, c)
+    def _join(o, c, how=_how):
+        one, owing = _sides(o, c)
         return one.merge(owing, how=how, on="custkey").to_spark(include_index=True).select("custkey", "price", "orderkey", "balance", "segment")
 
 
-@query("join_hash_whole", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
-def join_hash_whole(o, c):
-    one, owing = _whole_sides(o, c)
+@query("join_hash", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
+def join_hash(o, c):
+    one, owing = _sides(o, c)
     return one[["custkey", "price"]].merge(owing[["custkey", "balance"]], on="custkey", algorithm="hash").to_spark(include_index=True).select("custkey", "price", "balance")
 
 
-@query("join_on_index_whole", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
-def join_on_index_whole(o, c):
-    one, owing = _whole_sides(o, c)
+@query("join_on_index", f"SELECT a.custkey, price, balance FROM ({_ALL}) a JOIN ({_OWING}) b ON a.custkey = b.custkey", "orders", "customer")
+def join_on_index(o, c):
+    one, owing = _sides(o, c)
     return one.set_index("custkey").merge(owing.set_index("custkey")).to_spark(include_index=True).select("custkey", "price", "balance")
 
 
+@query("join_orders_customer", "SELECT o_orderkey, o_custkey AS custkey, c_acctbal, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")
+def join_orders_customer(o, c):
+    left = o.rename({"o_custkey": "custkey"})[["o_orderkey", "custkey"]]
+    return left.merge(c.rename({"c_custkey": "custkey"})[["custkey", "c_acctbal", "c_mktsegment"]], on="custkey").to_spark(include_index=True).select("o_orderkey", "custkey", "c_acctbal", "c_mktsegment")
+
+
 @query(
     "join_multi_key",
     """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_tax) AS t FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2)
@@ -329,12 +381,6 @@ def join_suffix(n, r):
     return out.to_spark(include_index=True).select("regionkey", "name_n", "name_r", "n_nationkey")
 
 
-@query("join_on_index", f"SELECT a.custkey, price, balance FROM ({_ONE}) a JOIN ({_SOME}) b ON a.custkey = b.custkey", "orders", "customer")
-def join_on_index(o, c):
-    one, some = _sides(o, c)
-    return one.set_index("custkey").merge(some.set_index("custkey")).to_spark(include_index=True).select("custkey", "price", "balance")
-
-
 @query(
     "align_setitem",
     "SELECT c_custkey, coalesce(p, -999) AS price FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON o_custkey = c_custkey",
@@ -371,6 +417,12 @@ for _keep, _sql in (("min", "min({0})"), ("max", "max({0})"), ("+", "sum({0})"))
         return _rounded(out.to_spark(), 2, "o_totalprice")
 
 
+@query("drop_duplicates_product", "SELECT o_orderstatus, round(product(1 + o_totalprice / 1000000000), 6) AS v FROM orders GROUP BY 1", "orders")
+def drop_duplicates_product(o):
+    o["v"] = o["o_totalprice"] / 1000000000 + 1
+    return _rounded(o[["o_orderstatus", "v"]].drop_duplicates(["o_orderstatus"], keep="*").to_spark(), 6, "v")
+
+
 @query("drop_duplicates_all", "SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2", "orders")
 def drop_duplicates_all(o):
     return o.set_index("o_orderkey")[["o_custkey", "o_orderstatus"]].drop_duplicates().to_spark(include_index=True)
@@ -391,13 +443,8 @@ def sort_topk(o):
     return o.sort_values(["o_totalprice", "o_orderkey"], ascending=False)[["o_orderkey", "o_totalprice"]].head(100).to_spark()
 
 
-@query("sort_single_stable", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_partkey LIMIT 50", "part")
+@query("sort_single_stable", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS place FROM part", "part")
 def sort_single_stable(p):
-    return p.sort_values("p_partkey").sort_values("p_size")[["p_partkey", "p_size"]].head(50).to_spark()
-
-
-@query("sort_single_stable_whole", "SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS place FROM part", "part")
-def sort_single_stable_whole(p):
     frame = p.sort_values("p_partkey").sort_values("p_size")[["p_partkey", "p_size"]].reset_index().drop("index")
     return frame.to_spark(include_index=True).withColumnRenamed("index", "place")
 
@@ -432,6 +479,12 @@ def iloc_array(o):
     return o.sort_values(["o_totalprice", "o_orderkey"], ascending=False)[["o_orderkey"]].iloc[np.array([8, 3, 400, 5])].to_spark()
 
 
+@query("sort_by_date", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders", "orders")
+def sort_by_date(o):
+    frame = o.sort_values(["o_orderdate", "o_orderkey"])[["o_orderkey"]].reset_index().drop("index")
+    return frame.to_spark(include_index=True).withColumnRenamed("index", "place")
+
+
 @query("sort_index_desc", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders", "orders")
 def sort_index_desc(o):
     frame = o[["o_orderkey", "o_custkey"]].set_index("o_orderkey").sort_index(ascending=False).reset_index()
@@ -533,7 +586,11 @@ def csv_roundtrip(n):
     from pelagos.plans.plan import session
     from pelagos.sources.files import read_csv
 
-    shared = session().conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
+    shared = session().conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        if not session().sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
     path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
     n.to_csv(path, index=False)
     return read_csv(path).to_spark()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import count
+from os.path import commonprefix
 
 from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import DataFrame as SparkFrame
@@ -78,9 +79,8 @@ class Plan:
         for expr, up in keys:
             plan, name = plan.with_column(expr, "s")
             order.append((name, up))
-        kind = dict(plan.sdf.dtypes)[order[0][0]]
         # rows from the driver are few however they are sorted
-        parts = "key" if self.parts != "few" and kind in ("boolean", "smallint", "int", "bigint", "float", "double", "string") else "few"
+        parts = "key" if self.parts != "few" else "few"
         return plan._made(lambda p: Plan(p.sdf, (*order, *p.order), parts, label=p.label))
 
     def head(self, n: int) -> Plan:
@@ -96,9 +96,12 @@ class Plan:
 
     def between(self, start: int, stop: int | None, step: int = 1) -> Plan:
         """Rows at positions ``start``, ``start + step`` and so on, below ``stop``; neither is negative."""
-        if stop is not None and start == 0 and step == 1 and stop <= TOP_ROWS:
-            return self.head(stop)
+        if stop is not None and stop <= TOP_ROWS:
+            top = self.head(stop)
+            return top if start == 0 and step == 1 else top._cut(start, None, step)
+        return self._cut(start, stop, step)
 
+    def _cut(self, start: int, stop: int | None, step: int) -> Plan:
         def cut(plan: Plan) -> Plan:
             plan = plan.numbered()
             at = F.col(plan.position)
@@ -119,11 +122,11 @@ class Plan:
         if self.position:
             return self
         name = fresh("pos")
-        part = self._part()
+        keyed, part = self._part()
         if part is None:
             at = F.row_number().over(Window.orderBy(*self.sort_keys())) - 1 if self.order else F.monotonically_increasing_id()
             return Plan(self.sdf.withColumn(name, at.cast("long")), self.order, self.parts, self.rows, name, self.label)
-        parted = self.sdf.withColumn(part_name := fresh("part"), part)
+        parted = keyed.withColumn(part_name := fresh("part"), part)
         # one row for each part, whose number is that of files or ranges
         before = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
         bases = parted.groupBy(F.col(part_name).alias("of")).agg(F.count(F.lit(1)).alias("n")).select("of", F.coalesce(before, F.lit(0)).alias("base"))
@@ -131,28 +134,27 @@ class Plan:
         if self.parts != "file" or len(self.sdf.inputFiles()) <= MAP_PARTS:
             # as an expression alone, it is pruned with its window wherever nobody asks for the position
             base = bases.agg(F.map_from_entries(F.collect_list(F.struct("of", "base")))).scalar()
-            sdf = parted.withColumn(name, within + F.coalesce(base[F.col(part_name)], F.lit(0))).drop(part_name)
+            sdf = parted.withColumn(name, within + F.coalesce(base[F.col(part_name)], F.lit(0))).select(*self.sdf.columns, name)
         else:
-            joined = parted.withColumn(name, within).join(F.broadcast(bases), F.col(part_name).eqNullSafe(F.col("of")))
-            sdf = joined.withColumn(name, F.col(name) + F.col("base")).drop("of", "base", part_name)
+            joined = parted.withColumn(name, within).join(bases, F.col(part_name).eqNullSafe(F.col("of")))
+            sdf = joined.withColumn(name, F.col(name) + F.col("base")).select(*self.sdf.columns, name)
         return Plan(sdf, self.order, self.parts, self.rows, name, self.label)
 
-    def _part(self) -> Column | None:
-        """What rises with the order and has few rows for each of its values; None for rows that the driver made."""
+    def _part(self) -> tuple[SparkFrame, Column | None]:
+        """What rises with the order and has few rows for each of its values, over the frame that comes with it; None for rows that the driver made."""
         if not self.order or self.parts == "few":
-            return None
+            return self.sdf, None
         first, up = self.order[0]
         if self.parts == "file":
-            return F.col(first)
+            # a file's rows come in parts of a million
+            return self.sdf, F.struct(F.col(first).alias("file"), F.shiftright(self.order[1][0], 20).alias("block")) if len(self.order) > 1 else F.col(first)
         kind = dict(self.sdf.dtypes)[first]
-        if kind == "string":  # by the first seven bytes
-            start = F.hex(F.substring(F.col(first).cast("binary"), 1, 7))
-            key = F.conv(F.rpad(start, 14, "0"), 16, 10).cast("double")
-        else:
-            key = F.col(first).cast("double")
-        # the only action in building a plan: RANGES numbers come back
+        # a column of its own, so that it isn't worked out again for each bound
+        key = F.col(name := fresh("key"))
+        keyed = self.sdf.withColumn(name, self._sort_number(first, kind))
+        # the only action in building a plan: RANGES numbers come back (a subquery can't be in a higher-order function)
         shares = [i / RANGES for i in range(1, RANGES)]
-        found = self.sdf.agg(F.percentile_approx(key, shares, 10 * RANGES)).first()[0]
+        found = keyed.agg(F.percentile_approx(key, shares, 10 * RANGES)).first()[0]
         ends = sorted(set(found or [0.0]))
         bounds, step = F.array(*map(F.lit, ends)), max(1, int(len(ends) ** 0.5))
         # ranges between the bounds are even, those of a bound itself odd: a frequent key has a range of its own
@@ -164,8 +166,22 @@ class Plan:
         place = at if up else -at
         if kind != "string" and len(self.order) > 1 and self.order[1][1] and self.order[1][0].startswith("_file"):
             # rows of a frequent key are in the order of their files
-            return F.struct(place.alias("range"), F.when(at % 2 != 0, F.col(self.order[1][0])).alias("file"))
-        return place
+            return keyed, F.struct(place.alias("range"), F.when(at % 2 != 0, F.col(self.order[1][0])).alias("file"))
+        return keyed, place
+
+    def _sort_number(self, column: str, kind: str) -> Column:
+        """A double that never falls as the column rises; different values may have the same one."""
+        c = F.col(column)
+        if kind == "string":  # by the first seven bytes after those that all have in common
+            lo, hi = self.sdf.agg(F.min(c), F.max(c)).first()
+            common = len(commonprefix([(lo or "").encode(), (hi or "").encode()]))
+            start = F.hex(F.substring(c.cast("binary"), common + 1, 7))
+            return F.conv(F.rpad(start, 14, "0"), 16, 10).cast("double")
+        if kind == "date":
+            return F.unix_date(c).cast("double")
+        if kind == "timestamp_ntz":  # without the zones that a cast to seconds would bring in
+            return F.unix_date(c.cast("date")) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+        return c.cast("double")
 
     def zipped(self, other: Plan, exprs: list[Column]) -> tuple[Plan, list[Column]]:
         """This plan with expressions over another: (plan, expressions over it), matched by position unless they share rows."""

@@ -55,6 +55,16 @@ def test_top_rows_are_a_top_k(spark):
     assert "Window" not in plan(spark, "sort_topk")
 
 
+def test_sorts_by_date_are_numbered_in_parts(spark):
+    text = plan(spark, "sort_by_date")
+    assert "hashpartitioning" in text and not any("SinglePartition" in x and "o_orderkey" in x for x in text.split("\n\n"))
+
+
+def test_short_slices_are_a_top_k(spark):
+    for name in ("slice", "slice_step", "iloc_int"):
+        assert "TakeOrderedAndProject" in plan(spark, name), name
+
+
 def test_hash_joins_hash(spark):
     text = plan(spark, "join_hash")
     assert "ShuffledHashJoin" in text or "BroadcastHashJoin" in text

@@ -7,6 +7,7 @@ import pytest
 import pelagos as pg
 
 pytestmark = pytest.mark.usefixtures("spark")
+# The inputs of the golden tests below, and what they give.
 TEXT = np.array([b"a", b"Abc", b"goosfraba", b"   dC  ", b"secrETariat"])
 
 
