@@ -51,6 +51,23 @@ _APACHE = (
     "See the License for the specific language governing permissions and limitations under the License."
 )
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_UNLICENSE_MORE = f"{_UNLICENSE}\n\nFor more information, please refer to "
+_BSL = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+    "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+    "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 TEXTS = [
     ("MIT", f"MIT License\n\n{_MIT}"), ("MIT", f"The MIT License (MIT)\n\n{_MIT}"), ("MIT", _MIT), ("MIT-0", f"MIT No Attribution\n\n{_MIT_0}"), ("MIT-0", _MIT_0),
     ("ISC", f"ISC License\n\n{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_NO}"), ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_NO}"),
@@ -58,6 +75,7 @@ TEXTS = [
     ("BSD-2-Clause", f"{_BSD_HEAD}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n{_BSD_NO}"), ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD_HEAD}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n{_BSD_NO}"),
     ("BSD-3-Clause", f"{_BSD_HEAD}\n\n1. {_BSD_1}\n\n2. {_BSD_2}\n\n3. {_BSD_3}\n\n{_BSD_NO}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD_HEAD}\n\n* {_BSD_1}\n\n* {_BSD_2}\n\n* {_BSD_3}\n\n{_BSD_NO}"),
     ("Zlib", f"zlib License\n\n{_ZLIB}"), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE), ("MPL-2.0", _MPL),
+    ("Unlicense", _UNLICENSE), ("Unlicense", f"{_UNLICENSE_MORE}<https://unlicense.org>"), ("Unlicense", f"{_UNLICENSE_MORE}<https://unlicense.org/>"), ("BSL-1.0", f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{_BSL}"), ("BSL-1.0", _BSL),
 ]
 NOTICES = [
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "This project is licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -73,7 +91,7 @@ QUOTES = ("‘’“”–— ", "''\"\"-- ")
 #: Lines that don't count: what begins them.
 COPYRIGHT_LINE = r"(^|\n)[ \t#*/]*(copyright |copyright$|\(c\) |© ?|all rights reserved)[^\n]*"
 #: What licences are found by: lines of a notice, not wrapped lines of the licence ("copyright notice ..."), and marks of lists.
-NOTICE_LINE = r"(^|\n)[ \t#*/]*(copyright(?![ \t]+(notice|holder|owner|statement|license|licence|law)s?([^a-z]|$))([ \t][^\n]*|$)|(\(c\)|© ?|all rights reserved)[^\n]*)"
+NOTICE_LINE = r"(^|\n)[ \t#*/]*(copyright(?![ \t]+(notice|holder|owner|statement|license|licence|law|interest|and|or|in|to|under)s?([^a-z]|$))([ \t][^\n]*|$)|(\(c\)|© ?|all rights reserved)[^\n]*)"
 LIST_MARK = r"(^|\n)[ \t#*/]*([-*•]|\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Spellings that count as one, with single spaces between words.
