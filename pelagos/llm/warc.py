@@ -77,7 +77,8 @@ def inflated(content: bytes, step: int = 1 << 16) -> Iterator[Iterator[bytes]]:
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, in the archive's order. Raises ValueError where framing or a digest is wrong."""
+    """(headers, block) of each record, in the archive's order. Raises ValueError where framing or a SHA-1 digest is wrong; digests
+    of other kinds, and records without any, are taken as they are."""
     for member in inflated(content):
         held = bytearray()
         for part in member:
@@ -93,22 +94,56 @@ def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"not a WARC record: {version[:20]!r}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         del held[: end + len(BREAK)]
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"{headers.get('warc-record-id')}: no length")
         size = int(headers["content-length"])
         for part in member:
             held += part
         if held[size:] != BREAK:
             raise ValueError(f"{headers.get('warc-record-id')}: its block is not of the {size} bytes it should have")
         block = bytes(held[:size])
-        if (said := headers.get("warc-block-digest")) and said != f"sha1:{base32_sha1(block)}":
+        if not _agrees(headers.get("warc-block-digest"), block):
             raise ValueError(f"{headers.get('warc-record-id')}: wrong block digest")
         yield headers, block
 
 
+def _agrees(said: str | None, data: bytes) -> bool:
+    """Whether a digest header, if there is one and it is a SHA-1 in base 32 or hex, is that of the data."""
+    kind, _, digest = (said or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    return digest.upper() == base32_sha1(data) or digest.lower() == hashlib.sha1(data).hexdigest()
+
+
 def http(block: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, body) of an HTTP message. The body is as it was sent: chunked or compressed ones stay so."""
     head, _, body = block.partition(BREAK)
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}, body
 
 
+def dechunked(body: bytes) -> bytes:
+    """The content of a body in chunks; as much as there is of one that is cut short."""
+    out, at = bytearray(), 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body if not at else bytes(out)
+        if not size:
+            break
+        out += body[end + 2 : end + 2 + size]
+        at = end + 2 + size + 2
+    return bytes(out)
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """(HTTP headers, payload, what its digest may be of) of a record; records that aren't HTTP are their payload."""
+    if not headers.get("content-type", "application/http").lower().startswith("application/http"):
+        return {}, block, block
+    said, body = http(block)
+    return said, dechunked(body) if said.get("transfer-encoding", "").lower() == "chunked" else body, body
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> None:
     """Writes a record for each row of ``pages`` to archives in the new folder ``path``.
 
@@ -141,8 +176,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """(record_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of all records in a folder.
 
-    ``payload`` is null for revisits; their size and digest are those of the payload they stand for. A damaged archive,
-    a wrong length or a wrong digest is an error.
+    ``payload`` is null for revisits; their size and digest are those of the payload they stand for, null where the record
+    doesn't give them. Records of other types (warcinfo, request, metadata) are left out. Archives of others are read, too: digests
+    may lack or be of another kind (a response's is worked out then), bodies may be chunked, payloads need not be HTTP. A
+    damaged archive, a wrong length or a wrong SHA-1 is an error. An archive is one value of Spark's binary source, so it has
+    to be below 2 GiB; records are decompressed one after the other.
     """
     schema = "record_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string" + ", payload binary" * with_payload
 
@@ -152,15 +190,22 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             for content in batch.column(0):
                 out: list[tuple] = []
                 for headers, block in records(content.as_py()):
-                    kind = headers["warc-type"]
+                    kind = headers.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
-                    said, payload = http(block)
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (digest != base32_sha1(payload) or int(said["content-length"]) != len(payload)):
-                        raise ValueError(f"{headers['warc-record-id']}: wrong payload digest or length")
+                    said, payload, sent = payload_of(headers, block)
+                    digest = headers.get("warc-payload-digest")
+                    if kind == "response" and not (_agrees(digest, payload) or _agrees(digest, sent)):
+                        raise ValueError(f"{headers.get('warc-record-id')}: wrong payload digest")
+                    length = int(said["content-length"]) if said.get("content-length", "").isdigit() else None
+                    if kind == "response":
+                        if digest is not None and length is not None and "transfer-encoding" not in said and length != len(payload):
+                            raise ValueError(f"{headers.get('warc-record-id')}: wrong payload length")
+                        length, digest = len(payload), base32_sha1(payload)
+                    else:
+                        digest = digest.partition(":")[2] if digest else None
                     strip = lambda k: headers[k].strip("<>") if k in headers else None
-                    out.append((strip("warc-record-id"), headers.get("warc-target-uri"), kind, int(said["content-length"]), digest, strip("warc-refers-to"), payload if kind == "response" else None))
+                    out.append((strip("warc-record-id"), headers.get("warc-target-uri"), kind, length, digest, strip("warc-refers-to"), payload if kind == "response" else None))
                     if len(out) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
                         out = []
