@@ -1,5 +1,6 @@
 """Mixing, packing and sharding."""
 
+import bisect
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 
 from pelagos.llm.mixing import mix, mixed
 from pelagos.llm.packing import best_fit, packed
-from pelagos.llm.sharding import even_bounds, ring, shard_rows, walk
+from pelagos.llm.sharding import RING, even_bounds, ring, shard_rows, walk
 from tests.llm import cases
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -183,6 +184,38 @@ def test_walk_against_single_keys():
         assert all(load[owners[a]] == bounds[owners[a]] for a, _, s in runs if s != owners[a])
 
 
+def slow_shards(keys, shards, nodes, bounds):
+    """Key by key: each walks clockwise from its own point to the first shard with room; keys of their own arc go first."""
+    at = ring(shards, nodes)
+    points = [p for p, _ in at]
+    own = [bisect.bisect_left(points, p) % len(at) for p in keys]
+    room, out, late = list(bounds), {}, []
+    for i in sorted(range(len(keys)), key=lambda i: (bisect.bisect_left(points, keys[i]), keys[i])):
+        shard = at[own[i]][1]
+        if room[shard]:
+            room[shard] -= 1
+            out[i] = shard
+        else:
+            late.append(i)
+    for i in late:
+        k = own[i]
+        while not room[at[k][1]]:
+            k = (k + 1) % len(at)
+        room[at[k][1]] -= 1
+        out[i] = at[k][1]
+    return [out[i] for i in range(len(keys))]
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_shards_agree_with_a_walk_key_by_key(spark, slack):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    points = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(cast(doc_id AS string)), {RING})").collect()}
+    ids = sorted(points)
+    wanted = slow_shards([points[i] for i in ids], 40, 64, even_bounds(3000, 40, slack))
+    found = {r["doc_id"]: r["shard"] for r in shard_rows(docs, 40, slack=slack).collect()}
+    assert [found[i] for i in ids] == wanted
+
+
 def test_another_shard_moves_few_keys_with_slack(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     before = {r["doc_id"]: r["shard"] for r in shard_rows(docs, 20, slack=0.25).collect()}
