@@ -66,7 +66,7 @@ class BlockMaxIndex:
         often = np.nonzero(np.bincount(term, minlength=n_terms) * DENSE >= max(n, 1))[0]
         self.row = np.full(n_terms, -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), n))
+        self.dense = np.zeros((len(often), n), np.float32)
         dense = self.row[term] >= 0
         self.dense[self.row[term[dense]], at[dense]] = weight[dense]
         self.dense_greatest = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=1) if n else self.dense
@@ -87,7 +87,7 @@ class BlockMaxIndex:
         The blocks with the highest bounds are scored first, then all others whose bound reaches the k-th cosine so far.
         """
         row = self.row[term]
-        rows, by = row[row >= 0], weight[row >= 0]
+        rows, by = row[row >= 0], weight[row >= 0].astype(np.float32)
         term, weight = term[row < 0], weight[row < 0]
         n = self.starts[term + 1] - self.starts[term]
         lists, query = _ranges(self.starts[term], n), np.repeat(weight, n)
@@ -110,7 +110,7 @@ class BlockMaxIndex:
 
         order = np.argsort(-bound, kind="stable")
         kth, rest = add(order[:FIRST_BLOCKS]), order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth * (1 - 1e-9))]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth * (1 - 1e-6))]
         if len(rest):
             kth = add(rest)
         found = np.nonzero((scores > 0) & (scores >= kth))[0]
@@ -180,7 +180,7 @@ class Scorer:
 
 def numbered(text: bytes, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(term, count) of the known terms of a text, ascending."""
-    found = [known[w] for w in terms(text) if w in known]
+    found = [k for k in map(known.get, terms(text)) if k is not None]
     return np.unique(np.array(found, np.int64), return_counts=True)
 
 
