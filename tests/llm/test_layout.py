@@ -8,11 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
+from pelagos.llm.common import saved
 from pelagos.llm.mixing import mix, mixed
-from pelagos.llm.packing import best_fit, packed
+from pelagos.llm.packing import _matched, packed, placed
 from pelagos.llm.sharding import RING, even_bounds, ring, shard_rows, walk
 from tests.llm import cases
 
@@ -92,23 +91,51 @@ def slow_best_fit(lengths, capacity):
     return sorted(gaps)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=60))
-def test_runs_are_those_of_best_fit_decreasing(lengths):
-    filled = defaultdict(list)
-    rank = Counter()
-    for length, docs, first, each, offset in best_fit(Counter(lengths), 20):
-        for i in range(docs):
-            filled[first + i // each].append((offset + i % each * length, length))
-        rank[length] += docs
-    assert rank == Counter(lengths)
-    for parts in filled.values():
+def lengths_to_pack(name):
+    rng = random.Random(11)
+    return {
+        "even": [rng.randint(1, 300) for _ in range(900)],
+        "a third each": [rng.randint(88, 110) for _ in range(400)],
+        "small": [rng.randint(1, 12) for _ in range(900)],
+        "one length holds a third": [75] * 300 + [rng.randint(1, 300) for _ in range(600)],
+        "large gaps, few small": [rng.randint(151, 200) for _ in range(300)] + [rng.randint(1, 9) for _ in range(40)],
+        "full ones": [300] * 50 + [1],
+        "none": [],
+    }[name]
+
+
+@pytest.mark.parametrize("one_range", [0, 50_000])
+@pytest.mark.parametrize("name", ["even", "a third each", "small", "one length holds a third", "large gaps, few small", "full ones", "none"])
+def test_rounds_need_no_more_sequences_than_best_fit_decreasing(spark, name, one_range):
+    lengths = lengths_to_pack(name)
+    table = saved(spark.createDataFrame(list(enumerate(lengths)), "row long, length long").repartition(4), "lengths")
+    found = placed(table, 300, one_range).collect()
+    assert sorted(r["row"] for r in found) == list(range(len(lengths)))
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], lengths[r["row"]]))
+    for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 20
-    assert sorted(20 - sum(n for _, n in p) for p in filled.values()) == slow_best_fit(lengths, 20)
+        assert at <= 300
+    assert len(sequences) <= len(slow_best_fit(lengths, 300)) + 1
+
+
+def test_ranges_match_as_one_does(spark):
+    """Documents and gaps by falling size: each document takes the smallest gap that is free and large enough."""
+    rng = random.Random(5)
+    docs, gaps = [rng.randint(40, 60) for _ in range(500)], [rng.randint(30, 75) for _ in range(450)]
+    wanted, free = {}, sorted((g, -i) for i, g in enumerate(gaps))
+    for row, n in sorted(enumerate(docs), key=lambda d: (-d[1], d[0])):
+        if (at := bisect.bisect_left(free, (n, -len(gaps)))) < len(free):
+            wanted[row] = -free.pop(at)[1]
+    doc_table = spark.createDataFrame(list(enumerate(docs)), "row long, length int")
+    gap_table = spark.createDataFrame(list(enumerate(gaps)), "sequence long, gap int")
+    for one_range in (True, False):
+        found = _matched(doc_table, gap_table, 60, 100, one_range).where("row is not null and sequence is not null").collect()
+        assert {r["row"]: r["sequence"] for r in found} == wanted
 
 
 def test_packing_keeps_every_token(spark):
@@ -133,7 +160,7 @@ def test_packing_keeps_every_token(spark):
             assert offset == at
             at += length
         assert at <= 512
-    assert len(sequences) == len(slow_best_fit([r["length"] for r in found], 512))
+    assert len(sequences) <= len(slow_best_fit([r["length"] for r in found], 512)) + 1
     assert packed(cases.empty(spark), TOKENIZER, with_ids=False).count() == 0
 
 
