@@ -86,6 +86,16 @@ NOTICES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."), ("ISC", "Licensed under the ISC License."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Of longer public licences the digests alone, by match_digest, of the whole text and, where they say where their
+# terms end, of the text up to there.
+DIGESTS = [
+    ("Apache-2.0", "78595e4b5a47cff6ba1e5dc34a5c411a"), ("Apache-2.0", "3cd3d8b324695bb0e11ba22cfe0e57e5"), ("Artistic-1.0-Perl", "dc4a091dae3cbb0eaa99c7976db9c452"), ("CC0-1.0", "dda622f2a6954c3bec3a251c578f8583"),
+    ("GFDL-1.2-only", "47db9266823a5d42ed2097c80082a819"), ("GFDL-1.3-only", "0525a14616519eaa74f74eac262327f5"),
+    ("GPL-1.0-only", "29ed6cb03107176e9fb98a6de359a1cb"), ("GPL-1.0-only", "8cb2cbe82e8896025c30aab6cfa10a1f"), ("GPL-2.0-only", "26b2bfb32c731688a49c7316842df11c"), ("GPL-2.0-only", "fd91d034b9fea937f46ffc879550d057"),
+    ("GPL-3.0-only", "4522322be58c62397949e6fa82486e8e"), ("GPL-3.0-only", "49410fec56a924c5dfc560fa7f487702"),
+    ("LGPL-2.0-only", "a6c71e468cb3a74b32d790234a6b452d"), ("LGPL-2.0-only", "1fc26f8c34fe8d0366dbad7bd2b98085"), ("LGPL-2.1-only", "86d8dfebdf105230da0149a95ab44835"), ("LGPL-2.1-only", "cec1622275ab5e49efbec66d4548c0d6"),
+    ("LGPL-3.0-only", "45ec14853d944805ef573d0b3a40cda3"), ("MPL-1.1", "93f4493bc3cc4c7562da7311a9ec89ef"), ("MPL-2.0", "7af35977b8ca802e2f909e41d737a587"),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES = ("‘’“”–— ", "''\"\"-- ")
 #: Lines that don't count: what begins them.
@@ -95,7 +105,7 @@ NOTICE_LINE = r"(^|\n)[ \t#*/]*(copyright(?![ \t]+(notice|holder|owner|statement
 LIST_MARK = r"(^|\n)[ \t#*/]*([-*•]|\(?[0-9]{1,2}[.)]|\(?[a-z]\))[ \t]+"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Spellings that count as one, with single spaces between words.
-SPELLINGS = [(" licence", " license"), (" sub license", " sublicense"), (" non commercial", " noncommercial"), (" non infringement", " noninfringement"), (" copyright owner", " copyright holder"), (" acknowledgement", " acknowledgment"), (" merchantibility", " merchantability"), (" https ", " http ")]
+SPELLINGS = [(" licence", " license"), (" sub license", " sublicense"), (" sublicence", " sublicense"), (" non commercial", " noncommercial"), (" non infringement", " noninfringement"), (" copyright owner", " copyright holder"), (" acknowledgement", " acknowledgment"), (" merchantibility", " merchantability"), (" https ", " http ")]
 
 
 def _plain(text: Column) -> Column:
@@ -130,16 +140,17 @@ def known(spark: SparkSession, texts: list[tuple[str, str]], by: Callable[[Colum
     return rows.select("license_id", by(F.col("text")).alias("digest")).dropDuplicates(["digest"])
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """(id, text_digest, license_id, notice_ids) for every row of ``docs``.
 
     ``license_id``: the licence that the entire text is, or null. ``notice_ids``: those of lines that are known notices, each
     once, in order and joined by commas; empty if there are none. A null text is empty and no licence; an empty table gives an
-    empty one. The known texts are parameters, so the broadcast is of their number.
+    empty one. The known texts are parameters, as are ``digests`` of others by :func:`match_digest`, so the broadcast is of their number.
     """
     spark = docs.sparkSession
     match = unused("_match", docs)
-    licences = F.broadcast(known(spark, texts, match_digest).withColumnRenamed("digest", match))
+    listed = known(spark, texts, match_digest).unionByName(spark.createDataFrame(digests, "license_id string, digest string"))
+    licences = F.broadcast(listed.dropDuplicates(["digest"]).withColumnRenamed("digest", match))
     # digests of lines are looked up in the row: it has them all, and nothing is shuffled
     named = {r["digest"]: r["license_id"] for r in known(spark, notices).collect()}
     table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])

@@ -215,6 +215,28 @@ def test_wrapped_licences_with_other_list_marks(spark):
     assert found == wanted
 
 
+def test_long_licences_by_digests(spark):
+    import pathlib
+    import textwrap
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3-only"}
+    files = {folder / f: name for f, name in files.items() if (folder / f).exists()}
+    if not files:
+        pytest.skip("no licence texts on this machine")
+    rows, wanted = [], []
+    for path, name in files.items():
+        text = path.read_text()
+        end = text.find("END OF TERMS AND CONDITIONS")
+        same = [text, text.upper().replace("LICENSE", "LICENCE"), textwrap.indent(text, "   "), "Copyright 2024 Someone\n\n" + text, text.replace("\n", "\r\n"), *[text[: end + 27]] * (end > 0)]
+        for t, who in [*((t, name) for t in same), (text + "\nand more", None), (text[: len(text) // 2], None)]:
+            wanted.append(who)
+            rows.append((len(rows), t))
+    found = {r["doc_id"]: r["license_id"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(rows))] == wanted
+    assert licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), digests=[], texts=licenses.TEXTS[:1]).where("license_id is not null").count() == 0
+
+
 def slow_stats(text):
     w = WORD.findall(text)
     seen, lines = set(), 0
