@@ -7,14 +7,12 @@ next is grown. What no rule covers gets the default verdict.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pelagos.llm.common import own_columns, text_bytes, unused
 
@@ -65,20 +63,16 @@ def _repeated(words: list[bytes]) -> int:
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all if None) and STATS, each named with ``prefix``. A null text is empty."""
-    kept = docs if keep is None else docs.select(*keep)
-    schema = StructType(list(kept.schema))  # a copy: add() changes it
-    text = unused("_text", docs)
-    rows = docs.select(text_bytes(text_col).alias(text), *(own_columns(docs) if keep is None else keep))
-    for name in STATS:
-        schema = schema.add(prefix + name, "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = np.array([text_stats(t.as_py()) for t in batch.column(0)], np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(stats[:, i]) for i in range(len(STATS)))], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+    """The columns ``keep`` of ``docs`` (all if None) and STATS, each named with ``prefix``. A null text is empty.
+
+    Only the texts go to Python, each once and pickled, a hundred at a time (``spark.sql.execution.python.udf.maxRecordsPerBatch``):
+    an Arrow batch is ten thousand of them, outside the heap, and more than once while its buffers grow.
+    """
+    told = unused("_stats", docs)
+    # not taken for deterministic, so that it runs once for all that reads its fields
+    stats = F.udf(lambda text: text_stats(bytes(text)), StructType([StructField(s, LongType()) for s in STATS]), useArrow=False).asNondeterministic()
+    rows = docs.select(*(own_columns(docs) if keep is None else keep), stats(text_bytes(text_col)).alias(told))
+    return rows.select(*own_columns(rows)[:-1], *(F.col(told)[s].alias(prefix + s) for s in STATS))
 
 
 #: What rules are about, from STATS; each divisor is at least 1.
